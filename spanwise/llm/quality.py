@@ -24,47 +24,67 @@ WORD_LENGTH = (2, 15)
 MAX_DUP_LINE_PERCENT = 50
 HOST_RATE = 0.5
 
-_SPACES = r"[\x20\x09-\x0D]+"
-
 
 def repeat_words(w: Column) -> Column:
     """How many words of the array ``w`` lie in 3-word windows that occur at least twice in it.
 
-    Windows are sorted by hash and, within equal hashes, by their words, so equal ones are neighbours and
-    no hash collision can count; the positions of repeated ones are then swept once.
+    Each window becomes one number, the top bits a hash of its words and the low ones its place. Sorted, equal windows
+    are neighbours, unless another window shares their hash. So neighbours with equal hashes are compared by
+    their words; if any two differ, the text takes the plain way of sorting its windows by their words.
     """
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.struct(
-            F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"),
-            F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("p"),
-        ),
-    )
+    n = F.size(w)
+    out = _by_words(w)
+    # The more low bits for places, the fewer for the hash: texts take as few as they need.
+    for bits in (28, 20, 16, 12):
+        out = F.when(n <= 1 << bits, _by_hash(w, bits, _by_words(w))).otherwise(out)
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(out)
+
+
+def _by_hash(w: Column, bits: int, plain: Column) -> Column:
+    def windows(h: Column) -> Column:
+        number = lambda x, i: F.shiftleft(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)), bits).bitwiseOR(i)
+        return F.sort_array(F.slice(F.transform(h, number), F.lit(1), F.size(h) - 2))
+
+    def found(s: Column) -> Column:
+        near = F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.shiftright(F.get(s, i).bitwiseXOR(F.get(s, i + 1)), bits) == 0)
+        place = lambda i: F.get(s, i).bitwiseAND((1 << bits) - 1).cast("int")
+
+        def checked(at: Column) -> Column:
+            same = F.forall(at, lambda i: F.slice(w, place(i) + 1, 3) == F.slice(w, place(i + 1) + 1, 3))
+            return F.when(same, _covered(F.concat(F.transform(at, place), F.transform(at, lambda i: place(i + 1))))).otherwise(plain)
+
+        return let(near, checked)
+
+    return let(let(F.transform(w, lambda x: F.xxhash64(x)), windows), found)
+
+
+def _by_words(w: Column) -> Column:
+    n = F.size(w)
+    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.slice(w, i + 1, 3).alias("w"), i.alias("p")))
+
+    def places(s: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
+        return F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["p"])
+
+    return _covered(let(F.sort_array(windows), places))
 
-    def same(x: Column, y: Column) -> Column:
-        return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
-    def positions(s: Column) -> Column:
-        twice = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-        return F.array_sort(F.transform(twice, lambda x: x["p"]))
+def _covered(places: Column) -> Column:
+    """The words in windows at ``places``, which may repeat."""
 
-    def covered(p: Column) -> Column:
-        return F.aggregate(
-            p,
-            F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
-            lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")),
-        )["n"]
+    def swept(p: Column) -> Column:
+        new = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
+        return F.aggregate(new, F.lit(0), lambda a, x: a + x).cast("long")
 
-    return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(covered(let(F.array_sort(windows), positions)))
+    return let(F.sort_array(F.array_distinct(places)), swept)
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` plus a struct column ``_q`` of the counts of each whole text and of the rules that it fails."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, _SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     counts = F.struct(
-        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r"))).alias("w"),
-        F.length(F.regexp_replace(text, _SPACES, "")).cast("long").alias("word_chars"),
+        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("r"))).alias("w"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
     )
@@ -74,12 +94,12 @@ def with_counts(docs: DataFrame) -> DataFrame:
         base = (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
         soft = (
             (c["n_symbols"] > MAX_SYMBOLS_PER_WORD * n)
-            | (c["word_chars"] < WORD_LENGTH[0] * n)
-            | (c["word_chars"] > WORD_LENGTH[1] * n)
+            | (c["w"]["chars"] < WORD_LENGTH[0] * n)
+            | (c["w"]["chars"] > WORD_LENGTH[1] * n)
             | (100 * c["lines"]["dup"] > MAX_DUP_LINE_PERCENT * c["lines"]["n"])
         )
         return F.struct(
-            n.alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["lines"]["dup"].alias("n_dup_lines"),
+            n.alias("n_words"), c["w"]["chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["lines"]["dup"].alias("n_dup_lines"),
             r.alias("n_repeat_words"), base.alias("base_failed"), (base | soft).alias("any_failed"),
         )
 
