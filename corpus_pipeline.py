@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import quality
+from spanwise.llm import neardup, packing, pii, quality, toxicity
 from spanwise.llm.common import materialise, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or any rule on a rejected host, go."""
     return quality.kept_documents(docs)
 
 
-STAGES = [("quality", quality_stage)]
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays. Sets are of five-word shingles here."""
+    return neardup.kept_documents(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redacted(docs, pii.train(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in the packed sequences."""
+    return packing.pack(docs, packing.default_path())
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
+    ("near_duplicates", neardup_stage),
+    ("personal_data", pii_stage),
+    ("packing", packing_stage),
+]
 
-#: Models, minimum hashes and packing have no SQL; tests hold the stages against brute force.
+#: Scores, minimum hashes and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
