@@ -690,7 +690,7 @@ def albers_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     x, y = ALASKA.forward(F.col("lon"), F.col("lat"))
     c = c.withColumn("x", x).withColumn("y", y)
     lon, lat = ALASKA.inverse(F.col("x"), F.col("y"))
-    return c.select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), (F.abs(lon - F.col("lon")) < 1e-9).alias("lon_back"), (F.abs(lat - F.col("lat")) < 1e-9).alias("lat_back"))
+    return c.select("c_custkey", F.round("x", 3).alias("east"), F.round("y", 3).alias("north"), (F.abs(lon - F.col("lon")) < 1e-9).alias("lon_back"), (F.abs(lat - F.col("lat")) < 1e-9).alias("lat_back"))
 
 
 @query(None)
