@@ -133,11 +133,12 @@ def natural_break(df: DataFrame, key: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(key)
     v = F.col(value)
-    rows = n.withColumn("c", F.sum("n").over(w)).withColumn("s", F.sum(F.col("n") * v).over(w)).withColumn("q", F.sum(F.col("n") * v * v).over(w))
-    for name, what in (("C", F.col("n")), ("S", F.col("n") * v), ("Q", F.col("n") * v * v), ("K", F.lit(1))):
+    rows = n.withColumn("n_lo", F.sum("n").over(w)).withColumn("s_lo", F.sum(F.col("n") * v).over(w)).withColumn("q_lo", F.sum(F.col("n") * v * v).over(w))
+    for name, what in (("n_all", F.col("n")), ("s_all", F.col("n") * v), ("q_all", F.col("n") * v * v), ("kinds", F.lit(1))):
         rows = rows.withColumn(name, F.sum(what).over(all_))
-    sse = F.col("q") - F.col("s") ** 2 / F.col("c") + (F.col("Q") - F.col("q")) - (F.col("S") - F.col("s")) ** 2 / (F.col("C") - F.col("c"))
-    cut = rows.where("c is not null and K >= 3").groupBy(key).agg(F.min_by(v, F.struct(F.round(sse, 6), v)).alias("_j"))
+    lower = F.col("q_lo") - F.col("s_lo") ** 2 / F.col("n_lo")
+    upper = F.col("q_all") - F.col("q_lo") - (F.col("s_all") - F.col("s_lo")) ** 2 / (F.col("n_all") - F.col("n_lo"))
+    cut = rows.where("n_lo is not null and kinds >= 3").groupBy(key).agg(F.min_by(v, F.struct(F.round(lower + upper, 6), v)).alias("_j"))
     plain = df.groupBy(key).agg(F.percentile(value, 0.90).alias("_p"))
     return plain.join(cut.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").select(key, F.coalesce("_j", "_p").alias("cut"))
 
