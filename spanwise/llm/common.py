@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def keep_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """``df`` with just ``names``, so that extra columns of the input can't clash with those an operator adds."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes for ``df`` not to have it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import let, materialise, table, words
+from spanwise.llm.common import let, materialise, table, unused, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -79,8 +79,8 @@ def _covered(places: Column) -> Column:
     return let(F.sort_array(F.array_distinct(places)), swept)
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` plus a struct column ``_q`` of the counts of each whole text and of the rules that it fails."""
+def with_counts(docs: DataFrame, name: str = "_q") -> DataFrame:
+    """``docs`` plus a struct column ``name`` of the counts of each whole text and of the rules that it fails."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     counts = F.struct(
@@ -103,7 +103,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             r.alias("n_repeat_words"), base.alias("base_failed"), (base | soft).alias("any_failed"),
         )
 
-    return docs.withColumn("_q", let(counts, judged))
+    return docs.withColumn(name, let(counts, judged))
 
 
 def host_verdicts(failures: DataFrame) -> DataFrame:
@@ -134,12 +134,12 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     The counts are made twice, once for the hosts and once for the filter: the texts aren't shuffled or stored.
     """
-    columns = docs.columns
+    columns, q, host, bad = docs.columns, unused(docs, "_q"), unused(docs, "_host"), unused(docs, "_rejected")
     failures = with_counts(docs.select("text", "source")).select("source", F.col("_q.any_failed").alias("any_failed"))
-    verdicts = host_verdicts(failures).where("rejected").select(F.col("source").alias("_host"), "rejected")
-    rows = with_counts(docs).where(~F.col("_q.base_failed"))
-    joined = rows.join(verdicts, F.col("source").eqNullSafe(F.col("_host")), "left")
-    return joined.where(~(F.coalesce(F.col("rejected"), F.lit(False)) & F.col("_q.any_failed"))).select(*columns)
+    verdicts = host_verdicts(failures).where("rejected").select(F.col("source").alias(host), F.col("rejected").alias(bad))
+    rows = with_counts(docs, q).where(~F.col(f"{q}.base_failed"))
+    joined = rows.join(verdicts, F.col("source").eqNullSafe(F.col(host)), "left")
+    return joined.where(~(F.coalesce(F.col(bad), F.lit(False)) & F.col(f"{q}.any_failed"))).select(*[f"`{c}`" for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

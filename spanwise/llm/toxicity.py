@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanwise.llm.common import table
+from spanwise.llm.common import table, unused
 
 BUCKETS = 1 << 18
 PREFIX = 5
@@ -162,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 class _Scorer:
     """Appends a score to rows whose column ``text`` holds the texts."""
 
-    def __init__(self, machine: Machine, at: int) -> None:
-        self.machine, self.at = machine, at
+    def __init__(self, machine: Machine, at: int, name: str) -> None:
+        self.machine, self.at, self.name = machine, at, name
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(b): k for k, b in enumerate(self.machine.inputs)}
@@ -181,19 +182,19 @@ class _Scorer:
                     if found:
                         hits.update(found)
                 scores.append(self.machine.score(sorted(hits)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, self.name])
 
 
-def with_score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with a column ``_score``."""
-    schema = docs.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.mapInArrow(_Scorer(machine, docs.columns.index("text")), f"{fields}, _score double")
+def with_score(docs: DataFrame, machine: Machine, name: str = "_score") -> DataFrame:
+    """``docs`` with a column ``name`` of scores."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_Scorer(machine, docs.columns.index("text"), name), schema)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score under THRESHOLD, with their columns as they are."""
-    return with_score(docs, train(docs, labels)).where(F.col("_score") < THRESHOLD).drop("_score")
+    name = unused(docs, "_score")
+    return with_score(docs, train(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
