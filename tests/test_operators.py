@@ -196,3 +196,55 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.manifest(spark, str(tmp_path / "m")) == {"n": 1}
     old = writers.report("R", {}, "").replace("<!-- feedback -->\n", "<!-- feedback -->\nkept\n")
     assert "kept" in writers.report("R", {"t": df}, old)
+
+
+def test_network_build_to_hub_costs(spark):
+    from spanwise.plans import multimodal, network
+
+    line = lambda k, t, *p: (k, t, [{"x": float(x), "y": float(y)} for x, y in p])
+    schema = "line_id long, type string, line array<struct<x:double,y:double>>"
+    lines = spark.createDataFrame([line(0, "Road", (0, 0), (900, 0)), line(1, "Road", (1000, 0), (2000, 0)), line(2, "Waterway", (2000, 500), (3000, 500), (4000, 500)), line(3, "Road", (9000, 0), (9500, 0))], schema)
+    anchors = spark.createDataFrame([(1, 2000.0, 250.0)], "id long, x double, y double")
+    profile = network.Profile(transfers=(network.Transfer(anchors, "Road", "Waterway", 600.0),), welds={"Road": 150.0}, join_reach=6000.0)
+    nodes, edges = network.build(lines, profile)
+    kinds = {r.type: r["count"] for r in edges.groupBy("type").count().collect()}
+    assert kinds == {"Road": 3, "Waterway": 2, "RoadConnector": 1, "BargeRoadTransfer": 2}
+    assert nodes.where("not is_giant").count() == 0 or {r.component for r in nodes.select("component").distinct().collect()} == {1}
+    hub_rows = spark.createDataFrame([("Hub_1", 1, 10.0, 10.0, 5.0, "Road", "Receiver"), ("Hub_2", 2, 3990.0, 480.0, 9.0, "Barge", "Supplier")], "hub_id string, n long, x double, y double, capacity double, delivery_method string, hub_type string")
+    nodes, snaps = network.with_hubs(nodes, edges, hub_rows, network.Profile(snap_cap=1000.0))
+    assert {r.hub_id: r.status for r in snaps.collect()} == {"Hub_1": "placed", "Hub_2": "placed"}
+    stats = costs.edge_months(edges.select("edge_id")).withColumn("avg_friction", F.lit(1.0)).withColumn("nodata_frac", F.lit(0.0))
+    weights, edge_costs = multimodal.weights_and_costs(edges, stats)
+    assert weights.count() == 12 * edges.count() and costs.incomplete(edge_costs).count() == 0
+    got = {(r.src, r.dst): r.cost for r in multimodal.hub_costs(nodes, edges, edge_costs, 7).collect()}
+    mile = 1609.344
+    want = (900 + 100 + 1000) / mile * 0.0007 + 0.24 + 2000 / mile * 0.001
+    assert len(got) == 2 and all(abs(c - want) < 1e-9 for c in got.values())
+    assert set(multimodal.validation(weights)) == {"barge_by_month", "ice_road_by_month", "by_mode"}
+
+
+def test_sampled_stats(spark):
+    from spanwise.plans import multimodal
+
+    e = spark.createDataFrame([(0, "Road", [{"x": 0.0, "y": -10.0}, {"x": 300.0, "y": -10.0}]), (1, "Air", [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}])], "edge_id long, type string, line array<struct<x:double,y:double>>")
+    s = spark.createDataFrame([("road_base", None, 0, 0, 2.0), ("road_base", None, 0, 1, -9999.0)], "mode string, month int, row long, col long, value double")
+    got = multimodal.sampled_stats(e, s, 0.0, 0.0).collect()
+    assert len(got) == 12 and all((r.edge_id, r.avg_friction, r.nodata_frac) == (0, 2.0, 0.5) for r in got)
+
+
+def test_quality_control_plan(spark):
+    from spanwise.plans import quality_control
+
+    schema = [("record_id", "string"), ("community_name", "string"), ("delivery_method", "string"), ("latitude", "float"), ("longitude", "float"), ("map_x", "float"), ("map_y", "float"), ("total_capacity", "float"), *[(f, "float") for f in inventory.FUELS], ("last_inspected", "string")]
+    raw = spark.createDataFrame([("r1", "Nome", "Barge", "64.5", "-165.4", "5", "60", "40", "1850-01-01"), ("r2", "NOME", None, "10.0", "-165.4", "50", None, None, None)], "id string, name string, how string, lat string, lon string, cap string, gas string, diesel string, seen string")
+    pairs = {"id": "record_id", "name": "community_name", "how": "delivery_method", "lat": "latitude", "lon": "longitude", "cap": "total_capacity", "gas": "gasoline_capacity", "diesel": "diesel_capacity", "seen": "last_inspected"}
+    mapping = [{"source_column": a, "schema_column": b, "type": "", "keep": "yes", "fold_into": ""} for a, b in pairs.items()]
+    fixes = spark.createDataFrame([("r1", "total_capacity", "5", "100", "approved", 1)], "record_id string, field string, old_value string, new_value string, status string, seq long")
+    aliases = spark.createDataFrame([("x", "y")], "variant string, canonical string")
+    p = quality_control.publish(raw, mapping, schema, fixes, aliases, {}, ["total_capacity"])
+    rows = {r.record_id: r for r in p.rows.collect()}
+    assert rows["r1"].total_capacity == 100.0 and rows["r1"].capacity_status == "ok" and rows["r1"].community_key == "NOME" and rows["r1"].map_x is not None
+    flags = {(r.record_id, r.detector) for r in p.flags.collect()}
+    assert ("r2", "alaska_envelope") in flags and ("r1", "placeholder_inspection_date") in flags and ("r2", "missing_fields") in flags
+    assert {r.record_id for r in p.queue.collect()} == {"r2"}
+    assert all(r.passed for r in p.checks.collect())
