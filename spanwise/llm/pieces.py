@@ -19,6 +19,7 @@ import functools
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from spanwise.llm.common import table
 
 SPACE = "▁"
 BEST = 4
-REMEMBER = 600_000
+REMEMBER = 1_200_000
 #: What a byte piece costs more than the worst piece, so that bytes stand only where nothing else fits.
 BYTE_COST = 10.0
 
@@ -85,21 +86,44 @@ class Model:
         return best, into
 
     def part(self, s: str) -> tuple[float, float, bytes]:
-        """(score, loss of the second best, ids of the best) of one part, remembered."""
-        got = self.parts.get(s)
-        if got is None:
-            if len(self.parts) > REMEMBER:
-                self.parts.clear()
-            best, into = self.forward(s)
-            at, loss, ids = len(s), np.inf, []
-            while at:
-                # A segmentation leaves the best one, seen from the end, at one place.
-                ranked = sorted((-(best[a] + w), x, a) for w, x, a in into[at])
-                if len(ranked) > 1:
-                    loss = min(loss, ranked[1][0] - ranked[0][0])
-                ids.append(ranked[0][1])
-                at = ranked[0][2]
-            got = self.parts[s] = best[-1], float(loss), np.array([k for x in reversed(ids) for k in x], "<u4").tobytes()
+        """(score, loss of the second best, ids of the best) of one part, remembered.
+
+        The same forward pass as ``forward``, but of the edges into a place only the best and the second best score stay.
+        """
+        if len(self.parts) > REMEMBER:
+            self.parts.clear()
+        n, scores, ids, prefixes = len(s), self.score, self.ids, self.prefixes
+        best, second = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1)
+        back: list[tuple[tuple[int, ...], int]] = [((), 0)] * (n + 1)
+        for start in range(n):
+            here, single = best[start], False
+            for end in range(start + 1, n + 1):
+                piece = s[start:end]
+                score = scores.get(piece)
+                if score is None:
+                    if piece in prefixes:
+                        continue
+                    break
+                single |= end == start + 1
+                total = here + score
+                if total > best[end] or (total == best[end] and ((ids[piece],), start) < back[end]):
+                    second[end], best[end], back[end] = best[end], total, ((ids[piece],), start)
+                elif total > second[end]:
+                    second[end] = total
+            if not single:
+                raw = s[start].encode("utf-8", "replace")
+                total, end = here + self.byte_score * len(raw), start + 1
+                if total > best[end]:
+                    second[end], best[end], back[end] = best[end], total, (tuple(self.bytes[x] for x in raw), start)
+                elif total > second[end]:
+                    second[end] = total
+        # A segmentation leaves the best one, seen from the end, at one place.
+        at, loss, found = n, np.inf, []
+        while at:
+            loss = min(loss, best[at] - second[at])
+            found.append(back[at][0])
+            at = back[at][1]
+        got = self.parts[s] = best[n], float(loss), struct.pack(f"<{sum(map(len, found))}I", *(k for x in reversed(found) for k in x))
         return got
 
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -118,13 +142,15 @@ class Model:
 
     def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
         """The ``n`` best (score, ids as little-endian 32-bit numbers) of a whole text, best first."""
-        parts = cut(text)
-        got = [self.part(p) for p in parts]
-        total = sum(g[0] for g in got)
-        found = [(total, b"".join(g[2] for g in got))]
+        parts, known = cut(text), self.parts
+        if not parts:
+            return [(0.0, b"")]
+        scores, losses, ids = zip(*[known.get(p) or self.part(p) for p in parts], strict=True)
+        total = sum(scores)
+        found = [(total, b"".join(ids))]
         # The best is left n - 1 times at most, so in parts with the n - 1 smallest losses; equal ones go by place.
-        losses = np.array([g[1] for g in got])
-        chosen = [int(k) for k in np.argsort(losses, kind="stable")[: n - 1] if losses[k] < np.inf]
+        least = np.argsort(np.array(losses), kind="stable")[: n - 1]
+        chosen = [int(k) for k in least if losses[k] < np.inf]
         if not chosen or n == 1:
             return found
         chosen.sort()
@@ -135,7 +161,7 @@ class Model:
         fixed = total - sum(x[0][0] for x in lists)
         while queue and len(found) < n:
             cost, pick, move = heapq.heappop(queue)
-            row = [g[2] for g in got]
+            row = list(ids)
             for k, c, x in zip(chosen, pick, lists, strict=True):
                 row[k] = np.array(x[c][1], "<u4").tobytes()
             found.append((fixed - cost, b"".join(row)))
