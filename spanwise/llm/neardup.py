@@ -6,10 +6,11 @@ the first filled one in a probing order of its own, so small sets fill all regis
 ``ROWS`` registers give candidates: texts with Jaccard similarity 0.8 share none of the 32 bands once in 10^7.
 
 Equal sets are one class from the start (grouped by a 128-bit digest of the set). In each band, classes are paired with the
-smallest one of the band only (a star); what is linked joins one component. Then members of bands in which
-several components meet are paired across components: these pairs, and no others, could still link something, so no
-link is lost and large groups aren't paired out. Pairs go through the sketches' Jaccard estimate, corrected for
-registers that collide by chance, and then through the full sets. Components are made by alternating stars.
+smallest one of the band only (a star); what is linked joins one component. Only in bands where several components meet
+could pairs still link something: their members are compared across components, block by block inside one function
+that gives out the links that join components, so no pair that isn't a link becomes a row and no link is lost. All pairs go
+through the sketches' Jaccard estimate, corrected for registers that collide by chance, and then through the full
+sets. Components are made by alternating stars.
 
 Defined cases: a text without words (null, empty, white space) has no set, links with nothing and is kept; rows without
 doc_id link with nothing and are kept; rows that repeat a doc_id are one document; an empty table gives an empty
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import materialise, table
+from spanwise.llm.common import materialise, table, unused
 
 #: Words of a shingle; the query takes four.
 WIDTH = 5
@@ -42,6 +43,11 @@ MARGIN = 0.3
 REMEMBER = 300_000
 #: Up to so many ids (16 bytes each) are sent to every executor to pick texts; more go by a shuffle.
 BROADCAST_IDS = 500_000
+#: A block of members that are compared all with all, and the shingles it may hold.
+BLOCK = 1024
+BLOCK_SHINGLES = 1_500_000
+#: Hashes in more sets than this are counted by a matrix product.
+FEW = 8
 
 _U = np.uint64
 
@@ -179,16 +185,100 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -
     """Of ``pairs`` (a, b) those whose full sets are similar enough; written."""
     side = lambda x, n, s: classes.select(F.col("rep").alias(x), F.col("n").alias(n), F.col("sketch").alias(s))
     near = materialise(pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long"))
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = materialise(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = _texts(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))), docs)
     side = lambda x, t: texts.select(F.col("doc_id").alias(x), F.col("text").alias(t))
     # Ordered by ``a`` within a partition, so that the set of a star's middle is made once.
     both = near.join(side("b", "tb"), "b").join(side("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
     return materialise(both.mapInArrow(functools.partial(_verify, width=width), "a long, b long"))
 
 
+def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Links between ``members`` (rep, n, c, cluster) of one cluster and different components c; written.
+
+    A cluster is dealt into blocks of at most about BLOCK members and BLOCK_SHINGLES shingles; each pair of blocks is compared
+    in one group, by estimates, then by exact intersections of all at once. Only links that join components come out.
+    """
+    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = dealt.join(classes.select("rep", "sketch"), "rep").join(_texts(dealt.select(F.col("rep").alias("doc_id")), docs), F.col("rep") == F.col("doc_id"))
+    copies = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = copies.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "c", "own", "sketch", "text")
+    return materialise(pair.groupBy("cluster", "i", "j").applyInArrow(lambda t: _block(t, width), "a long, b long"))
+
+
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with ``ids``; written. The table is shuffled only for more than BROADCAST_IDS ids."""
+    ids = materialise(ids.distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return materialise(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _block(t: pa.Table, width: int) -> pa.Table:
+    seen, n = _Hashes(), t.num_rows
+    rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "c", "own"))
+    size = t.column("n").to_numpy().astype(np.int64)
+    regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(n, REGISTERS)
+    crossing = t.column("i")[0] != t.column("j")[0]
+    near = np.zeros((n, n), bool)
+    for k in range(n):
+        e = estimate(np.broadcast_to(regs[k], (n - k, REGISTERS)), regs[k:], np.full(n - k, size[k]), size[k:])
+        ok = (e >= PERCENT / 100 - MARGIN) & (comp[k:] != comp[k]) & (100 * np.minimum(size[k:], size[k]) >= PERCENT * np.maximum(size[k:], size[k]))
+        near[k, k:] = ok & (own[k:] != own[k]) if crossing else ok
+    found = []
+    if near.any():
+        both = intersections([shingles(x, seen, width) for x in t.column("text").to_pylist()])
+        at, to = np.nonzero(near & (100 * both >= PERCENT * (size[:, None] + size[None] - both)))
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        for x, y in zip(at.tolist(), to.tolist(), strict=True):
+            a, b = top(int(comp[x])), top(int(comp[y]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((int(rep[x]), int(rep[y])))
+    cols = list(zip(*found, strict=True)) or [(), ()]
+    return pa.table([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairs' intersections, exactly.
+
+    A hash that few sets hold adds to each of its pairs; hashes that many sets hold are columns of a 0-1 matrix, whose product
+    with itself counts them.
+    """
+    n = len(sets)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(flat)))
+    out = np.zeros(n * n, np.int64)
+    for d in range(2, FEW + 1):
+        at = first[many == d]
+        for i in range(d if len(at) else 0):
+            for j in range(i + 1, d):
+                out += np.bincount(row[at + i] * n + row[at + j], minlength=n * n) if len(at) > n else 0
+                if len(at) <= n:
+                    np.add.at(out, row[at + i] * n + row[at + j], 1)
+    out = out.reshape(n, n)
+    out = out + out.T
+    often = np.flatnonzero(many > FEW)
+    for k in range(0, len(often), 4096):
+        some = often[k : k + 4096]
+        m = np.zeros((n, len(some)), np.float32)
+        take = np.concatenate([np.arange(first[x], first[x] + many[x]) for x in some])
+        m[row[take], np.repeat(np.arange(len(some)), many[some])] = 1
+        out += (m @ m.T).astype(np.int64)
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b): the smallest node reachable. Large and small stars in turn."""
     edges = materialise(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
@@ -227,16 +317,15 @@ def resolve(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     stars = materialise(met.where((F.col("hub") != F.col("rep")) & like(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     links = _linked(stars, nodes, docs, width)
 
-    # Bands in which several components meet, and their members' pairs across components.
+    # Bands in which several components meet: their members, in clusters that such bands connect.
     found = components(links)
-    member = met.select("key", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    member = met.select("key", "rep", "n", "hub").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("c"))
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     member = materialise(member.join(mixed, "key"))
-    x, y = member.alias("x"), member.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & like(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, across).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_linked(materialise(pairs), nodes, docs, width))
-    found = components(links)
+    cluster = components(member.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    open_ = member.select("rep", "n", "c").distinct().join(cluster, F.col("rep") == F.col("node")).select("rep", "n", "c", F.col("component").alias("cluster"))
+    more = _across(materialise(open_), nodes, docs, width)
+    found = components(links.unionByName(more))
 
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
@@ -246,11 +335,11 @@ def resolve(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of ``docs``."""
-    columns = docs.columns
-    gone = materialise(resolve(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    columns, name = docs.columns, unused(docs, "_gone")
+    gone = materialise(resolve(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*columns)
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*[f"`{c}`" for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
