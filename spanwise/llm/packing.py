@@ -30,31 +30,88 @@ from spanwise.llm.common import materialise, table
 CAPACITY = 2048
 END_ID = 0
 SEARCHED = 256
-MOVES = 20_000
+#: Pairs of sequences that local search looks at; it only ever improves, so this bounds the driver's time, not the result's validity.
+TRIES = 20_000
+#: Different lengths of a sequence that are paired for two-for-one exchanges.
+PAIRED = 24
 #: Rows of a length that are ranked together.
 SLICE = 200_000
-REMEMBER = 400_000
+REMEMBER = 800_000
 #: Characters whose unknown words are tokenised in one call.
 TOGETHER = 1 << 20
 
 _GAP = re.compile(r"[ \n]+")
 
 
-@functools.lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Words:
+    """Ids of what stands between spaces, remembered up to REMEMBER. The vocabulary drops white space and no token spans it.
 
-    return Tokenizer.from_file(path), {}
+    A word of letters is one pre-token, and so is a run of marks behind it: both are kept apart, so that a word costs once
+    whatever follows it. Letters are tokenised many words at a time and parted where a token ends a word.
+    """
 
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, k in vocabulary.items():
+            self.ends[k] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def one_by_one(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+
+    def together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return self.one_by_one(words)
+        data = ids.tobytes()
+        return {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *stops.tolist()], stops.tolist(), strict=False)}
+
+    def learn(self, new: set[str]) -> None:
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+            self.letters.clear()
+        split, odd, ask = [], [], set()
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core.isascii():
+                core = core.lower()
+            if core.isalpha() and core.lower().isalpha():
+                split.append((w, core, w[len(core) :]))
+                if core not in self.letters:
+                    ask.add(core)
+            else:
+                odd.append(w)
+        tails = {t for _, _, t in split if t and t not in self.known}
+        some = sorted(ask)
+        for k in range(0, len(some), 20_000):
+            self.letters |= self.together(some[k : k + 20_000])
+        self.known |= self.one_by_one(sorted(tails | set(odd)))
+        self.known[""] = b""
+        for w, core, tail in split:
+            self.known[w] = self.letters[core] + self.known[tail]
 
-def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian 32-bit numbers, the closing id last.
 
-    The vocabulary drops white space and no token spans it, so what stands between spaces is looked up on its own;
-    a worker remembers up to REMEMBER of these.
-    """
-    tokenizer, known = _tokenizer(path)
+#: Marks that end words; any other mark inside makes a word one to be tokenised by itself.
+MARKS = ".,;:!?*$&%#)]}|"
+
+
+@functools.lru_cache(2)
+def _words(path: str) -> Words:
+    return Words(path)
+
+
+def encoded(texts: list[str], path: str) -> Iterator[bytes]:
+    """Each text's ids as little-endian 32-bit numbers, the closing id last."""
+    words = _words(path)
     at = 0
     while at < len(texts):
         parts, chars = [], 0
@@ -62,15 +119,9 @@ def encoded(texts: list[str], path: str) -> Iterator[bytes]:
             chars += len(texts[at])
             parts.append(_GAP.split(texts[at]))
             at += 1
-        if len(known) > REMEMBER:
-            known.clear()
-        new = sorted(set().union(*parts) - known.keys())
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        words.learn({""}.union(*parts) - words.known.keys())
         for p in parts:
-            yield b"".join(map(known.__getitem__, p)) + END_ID.to_bytes(4, "little")
+            yield b"".join(map(words.known.__getitem__, p)) + END_ID.to_bytes(4, "little")
 
 
 class _Cutter:
@@ -145,58 +196,54 @@ def _best_move(a: list[int], b: list[int], room: int) -> tuple[int, list[int], l
         k = bisect.bisect_left(ys, x - room)
         if k < len(ys):
             offer(x - ys[k], [x], [ys[k]])
-    for give, back, sign in ((xs, b, 1), (ys, a, -1)):
-        pool = sorted(back if sign == -1 else a)[:64]
-        pairs = sorted({(u + v, u, v) for i, u in enumerate(pool) for v in pool[i + 1 :]})
-        sums = [p[0] for p in pairs]
-        if sign == 1:  # two from a for one from b
-            for y in ys:
-                k = bisect.bisect_right(sums, y + room) - 1
-                if k >= 0:
-                    offer(sums[k] - y, [pairs[k][1], pairs[k][2]], [y])
-        else:  # one from a for two from b
-            pool = sorted(b)[:64]
-            pairs = sorted({(u + v, u, v) for i, u in enumerate(pool) for v in pool[i + 1 :]})
-            sums = [p[0] for p in pairs]
-            for x in xs:
-                k = bisect.bisect_left(sums, x - room)
-                if k < len(sums):
-                    offer(x - sums[k], [x], [pairs[k][1], pairs[k][2]])
+    def pairs(items: list[int]) -> list[tuple[int, int, int]]:
+        pool = sorted(items, reverse=True)[:PAIRED]
+        return sorted({(u + v, u, v) for i, u in enumerate(pool) for v in pool[i + 1 :]})
+
+    two = pairs(a)
+    sums = [p[0] for p in two]
+    for y in ys:  # two from a for one from b
+        k = bisect.bisect_right(sums, y + room) - 1
+        if k >= 0:
+            offer(sums[k] - y, [two[k][1], two[k][2]], [y])
+    two = pairs(b)
+    sums = [p[0] for p in two]
+    for x in xs:  # one from a for two from b
+        k = bisect.bisect_left(sums, x - room)
+        if k < len(sums):
+            offer(x - sums[k], [x], [two[k][1], two[k][2]])
     return best
 
 
 def local_search(bins: list[list[int]], capacity: int) -> list[list[int]]:
     """``bins`` after moves that each raise the sum of squared fills; emptied ones are gone."""
     bins = [sorted(b) for b in bins]
-    least = -(-sum(map(sum, bins)) // capacity)
+    fills = [sum(b) for b in bins]
+    least = -(-sum(fills) // capacity)
     stuck: set[int] = set()
-    moves = 0
-    while len(bins) > least and moves < MOVES:
-        order = sorted((k for k in range(len(bins)) if k not in stuck), key=lambda k: sum(bins[k]))
-        if not order:
+    tries = 0
+    while len(bins) - fills.count(0) > least and tries < TRIES:
+        open_ = [k for k in range(len(bins)) if fills[k] and k not in stuck]
+        if not open_:
             break
-        a = order[0]
-        fill = sum(bins[a])
-        for b in sorted((k for k in range(len(bins)) if k != a), key=lambda k: -sum(bins[k])):
-            room = capacity - sum(bins[b])
-            if room <= 0 or sum(bins[b]) < fill:
-                continue
-            if found := _best_move(bins[a], bins[b], room):
-                for x in found[1]:
+        a = min(open_, key=lambda k: (fills[k], k))
+        # The roomiest first: they take most from the sequence that is to be emptied.
+        for b in sorted((k for k in range(len(bins)) if k != a and fills[a] <= fills[k] < capacity), key=lambda k: (fills[k], k)):
+            tries += 1
+            if found := _best_move(bins[a], bins[b], capacity - fills[b]):
+                gain, give, back = found
+                for x in give:
                     bins[a].remove(x)
                     bins[b].append(x)
-                for y in found[2]:
+                for y in back:
                     bins[b].remove(y)
                     bins[a].append(y)
-                moves += 1
+                fills[a], fills[b] = fills[a] - gain, fills[b] + gain
                 stuck.clear()
                 break
         else:
             stuck.add(a)
-        if not bins[a]:
-            bins.pop(a)
-            stuck.clear()
-    return bins
+    return [b for b in bins if b]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
