@@ -584,6 +584,31 @@ def shortest_path_costs(spark: SparkSession, sf: str) -> DataFrame:
     return graph.shortest_costs(p, nodes.where("node % 250 = 0"), nodes)
 
 
+# The three above see the small graph that their SQL states. These see every line item with its own nodes; recursive SQL is
+# too slow for that, so tests hold them against brute force.
+
+
+@query(None)
+def components_labels_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = D.edges(spark, sf)
+    return graph.components(_nodes(e), e)
+
+
+@query(None)
+def component_sizes_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = D.edges(spark, sf)
+    return graph.ranked_components(_nodes(e), e).select("component", "size", "is_giant").distinct()
+
+
+@query(None)
+def shortest_path_costs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """From the first supplier of every nation to all nodes, over the passable line items."""
+    p = graph.cheapest_parallel(D.edges(spark, sf).withColumn("cost", F.round("length_m").cast("double")))
+    nodes = p.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    first = D.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("node"))
+    return graph.shortest_costs(p, first.select("node").join(nodes, "node", "left_semi"), nodes)
+
+
 @query(
     """WITH l AS (SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS cost, CASE o_orderkey % 3 WHEN 0 THEN 'barge' WHEN 1 THEN 'overland' ELSE 'ice_road' END AS mode FROM orders),
   w AS (SELECT *, lag(mode) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM l)
