@@ -1,6 +1,7 @@
 """Operator 6: licence scan by sentence rules.
 
-Texts are cut into sentences and normalised; sentences known from licence notices become identifiers; the
+Texts are cut into sentences and normalised; sentences known from licence notices become identifiers. Full sentences of
+licence texts are also found inside and across what the cutting leaves, so wraps and comment marks don't hide them; the
 sequence of a text's identifiers is then matched against ordered rules, longer ones first, and what a rule
 matched can't be matched again. Everything is a DataFrame expression over one row; nothing is shuffled.
 
@@ -44,6 +45,24 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 
+#: Full normalised sentences of licence texts; ``*`` stands for up to 12 words, such as a holder's name.
+FULL = [
+    ("licensed under the apache license version 2 0 the license", "apache-notice"),
+    ("you may not use this file except in compliance with the license", "apache-comply"),
+    ("you may obtain a copy of the license at", "apache-copy"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit-grant"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-condition"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit-warranty"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gpl-free"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl-hope"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "ccby-long"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-grant"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd-source"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd-binary"),
+    ("neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-name"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+]
+
 #: Licences and the sentence identifiers that name them, in order; earlier rules go first.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
@@ -81,9 +100,25 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+def pattern(sentence: str) -> str:
+    """A full sentence between words, whichever of its gaps (blanks, or bars between parts) it has."""
+    return r"(?<=\|| )" + sentence.replace("* ", "(?:[a-z0-9]+[ |]){1,12}?").replace(" ", "[ |]") + r"(?=\|| )"
+
+
+def marked(parts: Column) -> Column:
+    """``parts`` with each full sentence, wherever it begins and ends, as a part of its own: its identifier behind an at sign."""
+    flow = F.concat(F.lit("|"), F.array_join(parts, "|"), F.lit("|"))
+    out = flow
+    for sentence, name in FULL:
+        out = F.regexp_replace(out, pattern(sentence), f"|@{name}|")
+    # Most texts have none of the words that every full sentence has one of.
+    hint = flow.rlike("licen[sc]e|redistribution|permission|warrant|unencumbered")
+    return F.when(hint, F.transform(F.split(out, r"\|"), lambda s: F.trim(s))).otherwise(parts)
+
+
 def identifiers(parts: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.filter(F.transform(parts, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    known = F.create_map(*[F.lit(x) for pair in [*SENTENCES.items(), *{f"@{i}": i for _, i in FULL}.items()] for x in pair])
+    return F.filter(F.transform(marked(parts), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
