@@ -151,6 +151,12 @@ def buffer_blobs(spark: SparkSession, sf: str) -> DataFrame:
     return hubs.blobs(D.points(spark, sf).where("id % 3 = 0").select("id", "x", "y"), 600.0)
 
 
+@query(None)
+def buffer_blobs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All points, where the query above takes the third that its SQL states."""
+    return hubs.blobs(D.points(spark, sf).select("id", "x", "y"), 600.0)
+
+
 @query(
     """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'nome' WHEN 1 THEN 'st mary' ELSE 'kaltag point' END AS base, CASE s_suppkey % 2 WHEN 0 THEN 'IceRoadConnector' ELSE 'Road' END AS class, lower('Fuel_Hub_Name') AS snake FROM supplier"""
 )

@@ -59,3 +59,30 @@ def test_shortest_paths_use_every_line_item(spark, duck, line_items):
                         heapq.heappush(heap, (d + w, y))
         want |= {(s, x): float(d) for x, d in best.items() if x != s}
     assert {(r.src, r.dst): r.cost for r in QUERIES["shortest_path_costs_all"](spark, SF).collect()} == want
+
+
+def made(spark, tmp_path, name, sql):
+    """A folder with one table made by SQL."""
+    spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_natural_sort_numbers_every_supplier(spark, tmp_path):
+    sf = made(spark, tmp_path, "supplier", "SELECT 1201 - id AS s_suppkey FROM range(1, 1201)")
+    assert {r.hub: r.k for r in QUERIES["natural_sort"](spark, sf).collect()} == {f"Hub_{k}": k for k in range(1, 1201)}
+
+
+def test_typed_projection_keeps_long_keys(spark, tmp_path):
+    sf = made(spark, tmp_path, "customer", "SELECT id AS c_custkey, 1.5D AS c_acctbal, 'A' AS c_mktsegment, 'n' AS c_name FROM VALUES (7), (99999), (123456) AS t(id)")
+    assert {r.c_custkey: r.zip for r in QUERIES["typed_projection"](spark, sf).collect()} == {7: "00007", 99999: "99999", 123456: "123456"}
+
+
+POINTS = "SELECT id AS vec_id, array(float(id % 25) / 4, float(id div 25) / 4, 0f) AS embedding, 0 AS label FROM range(0, 250)"
+
+
+def test_every_point_is_noded_rasterised_and_in_a_blob(spark, tmp_path):
+    sf = made(spark, tmp_path, "embeddings", POINTS)
+    assert {r.seg for r in QUERIES["planar_noding"](spark, sf).select("seg").collect()} == set(range(250))
+    assert {r.id: r.blob for r in QUERIES["buffer_blobs_all"](spark, sf).collect()} == {k: k for k in range(250)}
+    cells = {tuple(r) for r in QUERIES["line_corridor_cells"](spark, sf).collect()}
+    assert all(((50000 - y * 25000) // 150, (x * 25000 + 50000) // 150) in cells for x in range(25) for y in range(10))
