@@ -2,8 +2,8 @@
 
 Only the histogram of piece lengths (at most ``CAPACITY`` numbers, whatever the corpus) leaves the executors. From it
 the driver makes patterns: a multiset of lengths that fills one sequence, and how many sequences follow it. Best-fit
-decreasing makes the first ones; local search then takes the ``SEARCHED`` emptiest sequences and moves one document,
-or exchanges one for one or two for one, whenever that raises the sum of squared fills, until sequences fall empty. Pieces
+decreasing makes the first ones; local search then moves one document, or exchanges one for one or two for one, from a
+sequence to one at least as full, equal sequences together, until no two sequences gain by it or no fewer could hold all. Pieces
 find their places by their rank among those of equal length, counted in slices, so no length is ever sorted in one task.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed each; null ids stay; an empty
@@ -18,7 +18,7 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,6 @@ from spanwise.llm.common import materialise, table
 
 CAPACITY = 2048
 END_ID = 0
-SEARCHED = 256
-#: Pairs of sequences that local search looks at; it only ever improves, so this bounds the driver's time, not the result's validity.
-TRIES = 20_000
-#: Different lengths of a sequence that are paired for two-for-one exchanges.
-PAIRED = 24
 #: Rows of a length that are ranked together.
 SLICE = 200_000
 REMEMBER = 800_000
@@ -181,69 +176,141 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     return [x for room in sorted(free) for x in free[room]]
 
 
-def _best_move(a: list[int], b: list[int], room: int) -> tuple[int, list[int], list[int]] | None:
+def _pairs(items: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """(sum, one, other) of two documents of a sequence, each two lengths once."""
+    many = {x for k, x in enumerate(items[1:]) if x == items[k]}
+    kinds = sorted(set(items))
+    return sorted((u + v, u, v) for i, u in enumerate(kinds) for v in kinds[i:] if u != v or u in many)
+
+
+def _best_move(a: tuple[int, ...], b: tuple[int, ...], room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
     """What to take from ``a`` and give back from ``b`` so that ``b`` gains most, but no more than ``room``."""
     xs, ys = sorted(set(a)), sorted(set(b))
-    best: tuple[int, list[int], list[int]] | None = None
+    best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None
 
-    def offer(gain: int, give: list[int], back: list[int]) -> None:
+    def offer(gain: int, give: tuple[int, ...], back: tuple[int, ...]) -> None:
         nonlocal best
         if 0 < gain <= room and (best is None or gain > best[0]):
             best = (gain, give, back)
 
     for x in xs:
-        offer(x, [x], [])
+        offer(x, (x,), ())
         k = bisect.bisect_left(ys, x - room)
         if k < len(ys):
-            offer(x - ys[k], [x], [ys[k]])
-    def pairs(items: list[int]) -> list[tuple[int, int, int]]:
-        pool = sorted(items, reverse=True)[:PAIRED]
-        return sorted({(u + v, u, v) for i, u in enumerate(pool) for v in pool[i + 1 :]})
-
-    two = pairs(a)
+            offer(x - ys[k], (x,), (ys[k],))
+    two = _pairs(a)
     sums = [p[0] for p in two]
     for y in ys:  # two from a for one from b
         k = bisect.bisect_right(sums, y + room) - 1
         if k >= 0:
-            offer(sums[k] - y, [two[k][1], two[k][2]], [y])
-    two = pairs(b)
+            offer(sums[k] - y, two[k][1:], (y,))
+    two = _pairs(b)
     sums = [p[0] for p in two]
     for x in xs:  # one from a for two from b
         k = bisect.bisect_left(sums, x - room)
         if k < len(sums):
-            offer(x - sums[k], [x], [two[k][1], two[k][2]])
+            offer(x - sums[k], (x,), two[k][1:])
     return best
 
 
+def _bits(sums: Iterable[int]) -> int:
+    out = 0
+    for s in set(sums):
+        out |= 1 << s
+    return out
+
+
+def _above(bits: int, room: int) -> int:
+    """The numbers that are more than one of ``bits``, by at most ``room``."""
+    out, wide = bits << 1 if room else 0, 1
+    while wide < room:
+        step = min(wide, room - wide)
+        out |= out << step
+        wide += step
+    return out
+
+
+class _Kind:
+    """A pattern: its fill, what it can give (sums of one and of two documents) and what it would take, as bit sets."""
+
+    def __init__(self, number: int, items: tuple[int, ...], capacity: int) -> None:
+        self.number, self.items, self.fill, self.seen = number, items, sum(items), 0
+        self.one, self.two = _bits(items), _bits(p[0] for p in _pairs(items))
+        room = capacity - self.fill
+        self.for_one, self.for_two = _above(1 | self.one | self.two, room), _above(self.one, room)
+
+    def gains(self, other: "_Kind") -> int:
+        """Not 0 if ``other`` can gain from this."""
+        return self.one & other.for_one or self.two & other.for_two
+
+
+def improved(patterns: Iterable[tuple[tuple[int, ...], int]], capacity: int) -> dict[tuple[int, ...], int]:
+    """Patterns and how many sequences follow each, after moves that each raise the sum of squared fills.
+
+    Equal sequences move together. It ends when no two sequences gain, or when no fewer sequences could hold all.
+    """
+    kinds: dict[tuple[int, ...], _Kind] = {}
+    count: dict[tuple[int, ...], int] = defaultdict(int)
+    made: list[_Kind] = []
+    alive: list[tuple[int, int]] = []
+    # Patterns in the order they came up: a pattern that found nothing asks only those that came up since.
+    came: list[_Kind] = []
+
+    def add(items: tuple[int, ...], n: int) -> None:
+        if items and items not in kinds:
+            kinds[items] = _Kind(len(kinds), items, capacity)
+            made.append(kinds[items])
+        if items and not count[items]:
+            bisect.insort(alive, (kinds[items].fill, kinds[items].number))
+        # A second sequence of a pattern can be the first one's partner.
+        if items and n > 0 and count[items] < 2:
+            came.append(kinds[items])
+        if items:
+            count[items] += n
+            if not count[items]:
+                alive.pop(bisect.bisect_left(alive, (kinds[items].fill, kinds[items].number)))
+
+    for items, n in patterns:
+        add(tuple(sorted(items, reverse=True)), n)
+    total = sum(kinds[x].fill * n for x, n in count.items())
+    left, least = sum(count.values()), -(-total // capacity)
+
+    def partner(a: _Kind) -> _Kind | None:
+        if a.seen:
+            others = sorted((k for k in came[a.seen :] if count[k.items] and a.fill <= k.fill < capacity), key=lambda k: (k.fill, k.number))
+        else:
+            # The roomiest first: they take most from the sequence that is to be emptied.
+            others = (made[k] for f, k in alive[bisect.bisect_left(alive, (a.fill, -1)) :] if f < capacity)
+        return next((b for b in others if a.gains(b) and (b is not a or count[a.items] > 1)), None)
+
+    at = 0
+    while left > least and at < len(alive):
+        a = made[alive[at][1]]
+        if a.seen == len(came) or not (b := partner(a)):
+            a.seen = len(came)
+            at += 1
+            continue
+        n = count[a.items] // 2 if a is b else min(count[a.items], count[b.items])
+        _, give, back = _best_move(a.items, b.items, capacity - b.fill)
+        new_a, new_b = list(a.items), list(b.items)
+        for x in give:
+            new_a.remove(x)
+            new_b.append(x)
+        for y in back:
+            new_b.remove(y)
+            new_a.append(y)
+        add(a.items, -n)
+        add(b.items, -n)
+        add(tuple(sorted(new_a, reverse=True)), n)
+        add(tuple(sorted(new_b, reverse=True)), n)
+        left -= 0 if new_a else n
+        at = 0
+    return {x: n for x, n in count.items() if n}
+
+
 def local_search(bins: list[list[int]], capacity: int) -> list[list[int]]:
     """``bins`` after moves that each raise the sum of squared fills; emptied ones are gone."""
-    bins = [sorted(b) for b in bins]
-    fills = [sum(b) for b in bins]
-    least = -(-sum(fills) // capacity)
-    stuck: set[int] = set()
-    tries = 0
-    while len(bins) - fills.count(0) > least and tries < TRIES:
-        open_ = [k for k in range(len(bins)) if fills[k] and k not in stuck]
-        if not open_:
-            break
-        a = min(open_, key=lambda k: (fills[k], k))
-        # The roomiest first: they take most from the sequence that is to be emptied.
-        for b in sorted((k for k in range(len(bins)) if k != a and fills[a] <= fills[k] < capacity), key=lambda k: (fills[k], k)):
-            tries += 1
-            if found := _best_move(bins[a], bins[b], capacity - fills[b]):
-                gain, give, back = found
-                for x in give:
-                    bins[a].remove(x)
-                    bins[b].append(x)
-                for y in back:
-                    bins[b].remove(y)
-                    bins[a].append(y)
-                fills[a], fills[b] = fills[a] - gain, fills[b] + gain
-                stuck.clear()
-                break
-        else:
-            stuck.add(a)
-    return [b for b in bins if b]
+    return [list(x) for x, n in improved([(tuple(b), 1) for b in bins], capacity).items() for _ in range(n)]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -252,17 +319,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     least = -(-sum(k * n for k, n in histogram.items()) // capacity)
     if sum(n for _, n in made) <= least:
         return made
-    loose: list[list[int]] = []
-    rest = []
-    for pattern, n in made:
-        take = min(n, SEARCHED - len(loose))
-        loose += [list(pattern) for _ in range(take)]
-        if n > take:
-            rest.append((pattern, n - take))
-    found: dict[tuple[int, ...], int] = defaultdict(int)
-    for b in local_search(loose, capacity):
-        found[tuple(sorted(b, reverse=True))] += 1
-    return rest + sorted(found.items())
+    return sorted(improved(made, capacity).items())
 
 
 class _Placer:
