@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import materialise, table, unused
+from spanwise.llm.common import dropped, materialise, released, slices, table, unused
 
 #: Words of a shingle; the query takes four.
 WIDTH = 5
@@ -40,7 +40,7 @@ MANTISSA = 10
 ROWS = 4
 #: Candidates whose estimate is under the threshold by more than this are dropped: over seven standard deviations.
 MARGIN = 0.3
-REMEMBER = 300_000
+REMEMBER = 200_000
 #: Up to so many ids (16 bytes each) are sent to every executor to pick texts; more go by a shuffle.
 BROADCAST_IDS = 500_000
 #: A block of members that are compared all with all, and the shingles it may hold.
@@ -133,20 +133,21 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     seen = _Hashes()
-    for b in batches:
-        for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
-            sets = [shingles(t, seen, width) for t in part.column(1).to_pylist()]
-            full = [k for k, s in enumerate(sets) if len(s)]
-            regs = dict(zip(full, sketches([sets[k] for k in full]), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([regs[k].tobytes() if k in regs else None for k in range(len(sets))], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "class", "sketch"],
-            )
+    for part in slices(batches, 1):
+        sets = [shingles(t, seen, width) for t in part.column(1).to_pylist()]
+        full = [k for k, s in enumerate(sets) if len(s)]
+        regs = dict(zip(full, sketches([sets[k] for k in full]), strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([regs[k].tobytes() if k in regs else None for k in range(len(sets))], pa.binary()),
+            ],
+            ["doc_id", "n_shingles", "class", "sketch"],
+        )
+    seen.clear()
+    released()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,6 @@ from __future__ import annotations
 import bisect
 import functools
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -25,24 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import materialise, table
+from spanwise.llm.common import materialise, released, slices, table
 
 CAPACITY = 2048
 END_ID = 0
 #: Rows of a length that are ranked together.
 SLICE = 200_000
-REMEMBER = 800_000
+#: About the bytes of remembered words that a worker holds, twice.
+HELD = 40 << 20
 #: Characters whose unknown words are tokenised in one call.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
-_GAP = re.compile(r"[ \n]+")
 
 
 class Words:
-    """Ids of what stands between spaces, remembered up to REMEMBER. The vocabulary drops white space and no token spans it.
+    """Ids of what stands between spaces. The vocabulary drops white space and no token spans it.
 
     A word of letters is one pre-token, and so is a run of marks behind it: both are kept apart, so that a word costs once
     whatever follows it. Letters are tokenised many words at a time and parted where a token ends a word.
+
+    Words are remembered in two generations of HELD bytes: when the new one is full it becomes the old one, and what is
+    asked for again moves back into the new one.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,8 +56,12 @@ class Words:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
             self.ends[k] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.weight = 0
 
     def one_by_one(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -70,29 +76,38 @@ class Words:
         data = ids.tobytes()
         return {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *stops.tolist()], stops.tolist(), strict=False)}
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-            self.letters.clear()
-        split, odd, ask = [], [], set()
-        for w in new:
+    def hold(self, fresh: dict[str, bytes]) -> None:
+        self.new |= fresh
+        # An entry of a dictionary, a string and a byte string come to about this.
+        self.weight += 200 * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
+
+    def unknown(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that aren't remembered; the others are in the new generation behind this."""
+        missing = words.difference(self.new)
+        ask = missing.difference(self.old)
+        self.hold({w: self.old[w] for w in missing - ask})
+        return ask
+
+    def learn(self, words: set[str]) -> None:
+        """See to it that ``new`` holds all of ``words``, until the next call."""
+        if self.weight > HELD:
+            self.old, self.new, self.weight = self.new, {}, 0
+        split, odd = [], set()
+        for w in self.unknown(words):
             core = w.rstrip(MARKS)
             if core.isascii():
                 core = core.lower()
             if core.isalpha() and core.lower().isalpha():
                 split.append((w, core, w[len(core) :]))
-                if core not in self.letters:
-                    ask.add(core)
             else:
-                odd.append(w)
-        tails = {t for _, _, t in split if t and t not in self.known}
-        some = sorted(ask)
-        for k in range(0, len(some), 20_000):
-            self.letters |= self.together(some[k : k + 20_000])
-        self.known |= self.one_by_one(sorted(tails | set(odd)))
-        self.known[""] = b""
-        for w, core, tail in split:
-            self.known[w] = self.letters[core] + self.known[tail]
+                odd.add(w)
+        ask = sorted(self.unknown({core for _, core, _ in split}))
+        for k in range(0, len(ask), 20_000):
+            self.hold(self.together(ask[k : k + 20_000]))
+        self.hold(self.one_by_one(sorted(odd | self.unknown({t for _, _, t in split if t}))))
+        new = self.new
+        new[""] = b""
+        self.hold({w: new[core] + new[tail] for w, core, tail in split})
 
 
 #: Marks that end words; any other mark inside makes a word one to be tokenised by itself.
@@ -112,11 +127,11 @@ def encoded(texts: list[str], path: str) -> Iterator[bytes]:
         parts, chars = [], 0
         while at < len(texts) and (not parts or chars < TOGETHER):
             chars += len(texts[at])
-            parts.append(_GAP.split(texts[at]))
+            parts.append(texts[at].replace("\n", " ").split(" "))
             at += 1
-        words.learn({""}.union(*parts) - words.known.keys())
+        words.learn(set().union(*parts) - {""})
         for p in parts:
-            yield b"".join(map(words.known.__getitem__, p)) + END_ID.to_bytes(4, "little")
+            yield b"".join(map(words.new.__getitem__, p)) + END_ID.to_bytes(4, "little")
 
 
 class _Cutter:
@@ -124,7 +139,7 @@ class _Cutter:
         self.path = path
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             ids, rows = b.column(0).to_pylist(), []
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc, data in zip(ids, encoded(texts, self.path), strict=True):
@@ -134,6 +149,8 @@ class _Cutter:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        _words(self.path).forget()
+        released()
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:
@@ -176,6 +193,29 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     return [x for room in sorted(free) for x in free[room]]
 
 
+def fewest(histogram: dict[int, int], capacity: int) -> int:
+    """A number of sequences that no packing can go below.
+
+    For each ``a`` up to half the capacity: pieces longer than ``capacity - a`` stand alone among those of at least ``a``, those
+    longer than a half stand one to a sequence, and what the others of at least ``a`` need beyond the room left there takes
+    sequences of its own.
+    """
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        count[length] += n
+    # Python numbers: a corpus may hold more tokens than 64 bits count times the capacity.
+    pieces_to = np.cumsum(count).tolist()
+    tokens_to = np.cumsum(count * np.arange(capacity + 1)).tolist()
+    half, best = capacity // 2, 0
+    for a in range(half + 1):
+        alone = pieces_to[capacity] - pieces_to[capacity - a]
+        wide = pieces_to[capacity - a] - pieces_to[half]
+        room = wide * capacity - (tokens_to[capacity - a] - tokens_to[half])
+        small = tokens_to[half] - (tokens_to[a - 1] if a else 0)
+        best = max(best, alone + wide + max(0, -(-(small - room) // capacity)))
+    return best
+
+
 def _pairs(items: tuple[int, ...]) -> list[tuple[int, int, int]]:
     """(sum, one, other) of two documents of a sequence, each two lengths once."""
     many = {x for k, x in enumerate(items[1:]) if x == items[k]}
@@ -272,8 +312,11 @@ def improved(patterns: Iterable[tuple[tuple[int, ...], int]], capacity: int) ->
 
     for items, n in patterns:
         add(tuple(sorted(items, reverse=True)), n)
-    total = sum(kinds[x].fill * n for x, n in count.items())
-    left, least = sum(count.values()), -(-total // capacity)
+    lengths: dict[int, int] = defaultdict(int)
+    for items, n in count.items():
+        for x in items:
+            lengths[x] += n
+    left, least = sum(count.values()), fewest(lengths, capacity)
 
     def partner(a: _Kind) -> _Kind | None:
         if a.seen:
@@ -316,8 +359,7 @@ def local_search(bins: list[list[int]], capacity: int) -> list[list[int]]:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how many sequences follow each."""
     made = sorted(best_fit(histogram, capacity), key=lambda x: (sum(x[0]), x[0]))
-    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
-    if sum(n for _, n in made) <= least:
+    if sum(n for _, n in made) <= fewest(histogram, capacity):
         return made
     return sorted(improved(made, capacity).items())
 

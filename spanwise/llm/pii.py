@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import table
+from spanwise.llm.common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -300,7 +300,7 @@ class _Finder:
         self.field = field
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             base_text, every, counts = [], [], []
             for text in b.column(1).to_pylist():
                 base = base_spans(text)
@@ -330,7 +330,7 @@ class _Redactor:
         return "".join([*out, text[at:]])
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, self.text):
             texts = [x if not x or not _MARK.search(x) else self.redact(x) for x in b.column(self.text).to_pylist()]
             columns = list(b.columns)
             if self.chars >= 0:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwise.llm.common import table, unused
+from spanwise.llm.common import released, slices, table, unused
 
 BUCKETS = 1 << 18
 PREFIX = 5
@@ -37,7 +37,7 @@ RATE = 0.1
 DECAY = 1e-4
 THRESHOLD = 0.7
 #: Words whose buckets a worker remembers; beyond, it starts anew.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -142,7 +142,7 @@ def fold(doc_id: Column) -> Column:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = _Buckets()
-    for b in batches:
+    for b in slices(batches, 1):
         found = [np.array(sorted(terms(t, seen)), "<i4").tobytes() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
 
@@ -169,7 +169,7 @@ class _Scorer:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(b): k for k, b in enumerate(self.machine.inputs)}
         known: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in slices(batches, self.at):
             scores = []
             for text in batch.column(self.at).to_pylist():
                 hits: set[int] = set()
@@ -183,6 +183,8 @@ class _Scorer:
                         hits.update(found)
                 scores.append(self.machine.score(sorted(hits)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, self.name])
+        known.clear()
+        released()
 
 
 def with_score(docs: DataFrame, machine: Machine, name: str = "_score") -> DataFrame:

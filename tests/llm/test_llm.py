@@ -216,6 +216,41 @@ def test_tokens_equal_whole_text_encoding():
         assert np.frombuffer(got, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
+def plain_bound(lengths, capacity):
+    """Martello and Toth's second bound, by its definition."""
+    best = 0
+    for a in range(capacity // 2 + 1):
+        big = [x for x in lengths if x > capacity - a]
+        wide = [x for x in lengths if capacity // 2 < x <= capacity - a]
+        small = [x for x in lengths if a <= x <= capacity // 2]
+        best = max(best, len(big) + len(wide) + max(0, -(-(sum(small) - len(wide) * capacity + sum(wide)) // capacity)))
+    return best
+
+
+def test_bound_equals_its_definition_and_no_packing_goes_below():
+    rng = np.random.default_rng(6)
+    for top in (12, 40, 100):
+        for n in (0, 1, 5, 40):
+            lengths = rng.integers(1, top + 1, n).tolist()
+            h = {x: lengths.count(x) for x in lengths}
+            assert packing.fewest(h, top) == plain_bound(lengths, top) >= -(-sum(lengths) // top)
+            assert sum(k for _, k in packing.best_fit(h, top)) >= packing.fewest(h, top)
+
+
+def test_tokens_are_right_when_words_are_forgotten(monkeypatch):
+    """Blocks that overflow the memory of words: each word is learned again when it comes again."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "HELD", 3000)
+    monkeypatch.setattr(packing, "TOGETHER", 50)
+    t = Tokenizer.from_file(packing.default_path())
+    rng = np.random.default_rng(8)
+    some = ["And", "and", "And,", "e1", "x.", "Über", "?!", "it's", *[f"w{chr(97 + k)}{chr(97 + j)}" for k in range(26) for j in range(8)]]
+    texts = [" ".join(rng.choice(some, rng.integers(0, 30))) for _ in range(300)]
+    for text, got in zip(texts, packing.encoded(texts, packing.default_path()), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_packing_is_gapless_and_tight(spark):
     texts = ["some words " * int(k) for k in np.random.default_rng(0).integers(0, 900, 120)] + ODD
     got = packing.pack(documents(spark, texts, sequence_id=1, piece="x", rank=2), packing.default_path()).collect()
@@ -232,7 +267,7 @@ def test_packing_is_gapless_and_tight(spark):
             assert offset == end
             end += length
         assert end <= 2048
-    assert len(by) <= -(-sum(r.length for r in got) // 2048) + 1
+    assert len(by) <= plain_bound([r.length for r in got], 2048) + 1
     assert packing.pack(documents(spark, ["x"]).where("false"), packing.default_path()).count() == 0
 
 
