@@ -16,7 +16,12 @@ TRANSFER_MODES = {
     "AirRoadTransfer": ("overland", "plane"),
     "BargeAirTransfer": ("barge", "overland"),
 }
-RATE_MODE = {"Road": "Road", "RoadConnector": "Road", "Waterway": "Barge", "Air": "Plane", "IceRoad": "IceRoad", "IceRoadConnector": "IceRoad"} | {t: "Road" for t in TRANSFER_MODES}
+RATE_MODE = {"Road": "Road", "RoadConnector": "Road", "Waterway": "Barge", "Air": "Plane", "IceRoad": "IceRoad", "IceRoadConnector": "IceRoad", "Join": "Road", "Bridge": "Road", "Transfer": "Transfer"} | {t: "Transfer" for t in TRANSFER_MODES}
+#: The surface that an edge type is sampled from; the other types aren't sampled and weigh 1.
+SURFACE = {"Road": "road_base", "IceRoad": "road_base", "IceRoadConnector": "road_base", "Join": "road_base", "Waterway": "barge"}
+#: Travel on ice takes twice the time, in the first three months only.
+ICE_TYPES = ("IceRoad", "IceRoadConnector")
+ICE_PENALTY = 2.0
 ICE_MONTHS = (1, 2, 3)
 
 
@@ -46,22 +51,23 @@ def edge_months(edges: DataFrame) -> DataFrame:
 
 def passable(kind: Column, month: Column, nodata_frac: Column) -> Column:
     """No gaps in the samples, and ice roads in their months only."""
-    return (nodata_frac == 0) & (~kind.isin("IceRoad", "IceRoadConnector") | month.isin(*ICE_MONTHS))
+    return (nodata_frac == 0) & (~kind.isin(*ICE_TYPES) | month.isin(*ICE_MONTHS))
 
 
 def edge_month_weights(edges: DataFrame, stats: DataFrame) -> DataFrame:
-    """(edge_id, month, mode, avg_friction, nodata_frac, passable); ``stats`` is per edge and month, unsampled types weigh 1."""
+    """(edge_id, month, mode, avg_friction, nodata_frac, passable); ``stats`` is per edge and month, unsampled types weigh 1, ice costs its penalty."""
     rows = edge_months(edges.select("edge_id", "type")).join(stats, ["edge_id", "month"], "left")
-    plain = F.col("type").isin("Air", *TRANSFER_MODES)
+    plain = ~F.col("type").isin(*SURFACE)
+    friction = F.col("avg_friction") * F.when(F.col("type").isin(*ICE_TYPES), ICE_PENALTY).otherwise(1.0)
     gap = F.when(plain, 0.0).otherwise(F.coalesce("nodata_frac", F.lit(1.0)))
     return rows.select(
-        "edge_id", F.col("month").cast("tinyint").alias("month"), lookup(F.col("type"), RATE_MODE).alias("mode"), F.when(plain, 1.0).otherwise(F.col("avg_friction")).alias("avg_friction"),
+        "edge_id", F.col("month").cast("tinyint").alias("month"), lookup(F.col("type"), RATE_MODE).alias("mode"), F.when(plain, 1.0).otherwise(friction).alias("avg_friction"),
         gap.alias("nodata_frac"), passable(F.col("type"), F.col("month"), gap).alias("passable"),
     )
 
 
 def cost(kind: Column, length_m: Column, friction: Column) -> Column:
-    """Per gallon: the fee of a transfer, else length in miles by rate and friction."""
+    """Per gallon: the fee of a transfer, else length in miles by rate and friction; null for a transfer between modes without a fee."""
     return F.coalesce(transfer_fee(kind), length_m / METRES_PER_MILE * lookup(F.coalesce(lookup(kind, RATE_MODE), F.lit("Road")), RATES) * friction)
 
 
@@ -71,6 +77,13 @@ def edge_costs(weights: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("edge_id", "month", cost(F.col("type"), F.col("length_m"), F.col("avg_friction")).alias("cost_per_gallon"), "passable")
 
 
+def weight_per_mile(weights: DataFrame, costs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_id, month, type, mode, avg_friction, passable, cost_per_gallon, miles, weighted_miles): the three tables joined on edge and month."""
+    rows = weights.join(costs.select("edge_id", "month", "cost_per_gallon"), ["edge_id", "month"]).join(edges.select("edge_id", "type", "length_m"), "edge_id")
+    miles = F.col("length_m") / METRES_PER_MILE
+    return rows.select("edge_id", "month", "type", "mode", "avg_friction", "passable", "cost_per_gallon", miles.alias("miles"), (miles * F.col("avg_friction")).alias("weighted_miles"))
+
+
 def incomplete(costs: DataFrame) -> DataFrame:
     """Passable rows without cost, or at no cost."""
     return costs.where(F.col("passable") & (F.col("cost_per_gallon").isNull() | F.isnan("cost_per_gallon") | (F.col("cost_per_gallon") == 0)))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from spanwise.functions import geometry as G
 from spanwise.operators import spatial
-from spanwise.sources.scratch import materialise
+from spanwise.operators.ranking import numbered
+from spanwise.sources.scratch import materialise, removed, written
 
 #: Tokens of line-haul types in names of connectors, in naming order.
 TOKENS = {"Waterway": "Barge", "IceRoad": "IceRoad", "Air": "Air", "Road": "Road"}
@@ -27,7 +28,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Stars in turn: every node's larger neighbours, then its smaller ones, are hung on the smallest neighbour, so long
     chains shrink by a power each round.
     """
-    links = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    links, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     was = _state(links)
     while was[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,8 +36,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = _state(links)
+        links, now_at = written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        # What the round was made from is read no more.
+        removed(links.sparkSession, path)
+        path, now = now_at, _state(links)
         if now == was:
             break
         was = now
@@ -46,8 +49,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def ranked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, size, is_giant): components numbered from 1 by size, equal ones by smallest node."""
     labels = materialise(components(nodes, edges))
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    order = sizes.select("component", "size", F.row_number().over(Window.orderBy(F.desc("size"), "component")).alias("rank"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size")).withColumn("_order", -F.col("size"))
+    order = numbered(sizes, ["_order", "component"], "rank", 1).select("component", "size", "rank")
     return labels.join(order, "component").select("node", F.col("rank").cast("long").alias("component"), "size", (F.col("rank") == 1).alias("is_giant"))
 
 
@@ -90,8 +93,12 @@ def cross_mode_connectors(edges: DataFrame, xy: DataFrame, from_mode: str, to_mo
     return best.select(F.col("m.left_id").alias("a"), F.col("m.right_id").alias("b"), F.col("m.dist").alias("gap"))
 
 
-def connect_to_giant(xy: DataFrame, pairs: DataFrame, max_dist: float, water_from: int | None = None) -> DataFrame:
-    """(a, b, gap, source): one connector from each other component to the nearest giant node within reach; one pass."""
+def connect_to_giant(xy: DataFrame, pairs: DataFrame, max_dist: float, water_from: int | None = None, road: DataFrame | None = None) -> DataFrame:
+    """(a, b, gap, source): one connector from each other component to the nearest giant node within reach; one pass.
+
+    ``a`` is the component's node. A giant node from number ``water_from`` on is water, and the connector a landing of a barge,
+    on a road if ``road`` (node) holds ``a`` (all nodes do if it isn't given), else on ice; others are welds.
+    """
     labels = materialise(components(xy.select(F.col("id").alias("node")), pairs))
     giant = giant_of(labels)
     at = materialise(labels.join(xy, F.col("node") == F.col("id")).select("id", "x", "y", "component"))
@@ -102,8 +109,11 @@ def connect_to_giant(xy: DataFrame, pairs: DataFrame, max_dist: float, water_fro
         near = spatial.nearest_within(rest, main, max_dist)
     near = near.join(rest.select(F.col("id").alias("left_id"), "component"), "left_id")
     best = near.groupBy("component").agg(F.min(F.struct("dist", "left_id", "right_id")).alias("m"))
-    shore = F.lit(False) if water_from is None else (F.col("m.left_id") >= water_from) | (F.col("m.right_id") >= water_from)
-    return best.select(F.col("m.left_id").alias("a"), F.col("m.right_id").alias("b"), F.col("m.dist").alias("gap"), F.when(shore, "join:shore").otherwise("join:weld").alias("source"))
+    best = best.select(F.col("m.left_id").alias("a"), F.col("m.right_id").alias("b"), F.col("m.dist").alias("gap"))
+    best = best.withColumn("_road", F.lit(True)) if road is None else best.join(road.select(F.col("node").alias("a"), F.lit(True).alias("_road")).distinct(), "a", "left")
+    shore = F.lit(False) if water_from is None else F.col("b") >= water_from
+    landing = F.when(F.col("_road"), "shore:Barge↔Road").otherwise("shore:Barge↔IceRoad")
+    return best.select("a", "b", "gap", F.when(shore, landing).otherwise("weld:to-giant").alias("source"))
 
 
 def join_components(xy: DataFrame, pairs: DataFrame, max_dist: float) -> DataFrame:
@@ -167,15 +177,34 @@ def cheapest_parallel(edges: DataFrame, cost: str = "cost") -> DataFrame:
 def shortest_costs(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(src, dst, cost): cheapest paths over ``pairs`` (u, v, cost) from sources (node) to other targets (node).
 
-    Relaxation by frontiers: only nodes whose cost fell go on, and all sources run together.
+    Relaxation by frontiers: only nodes whose cost fell go on, and all sources run together. A round writes the costs that
+    fell; the best so far are the least of all rounds, which are written anew each time that they have doubled.
     """
     adj = materialise(pairs.select("u", "v", "cost").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")))
-    best = materialise(sources.select(F.col("node").alias("src"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
-    front = best
-    while not front.isEmpty():
+    least = lambda df: df.groupBy("src", "node").agg(F.min("dist").alias("dist"))
+    front = materialise(sources.select(F.col("node").alias("src"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
+    base, since = front, []
+    size, new, added = 0, front.count(), 0
+    while new:
         step = front.join(adj, F.col("node") == F.col("u")).groupBy("src", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("cost")).alias("new"))
-        merged = materialise(best.join(step, ["src", "node"], "full_outer").select("src", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("fell")))
-        best, front = merged.select("src", "node", "dist"), merged.where("fell").select("src", "node", "dist")
+        # Only what the step reaches is looked up among the best.
+        known = base
+        for one in since:
+            known = known.unionByName(one)
+        known = least(known.join(step.select("src", "node"), ["src", "node"], "left_semi"))
+        front = materialise(step.join(known, ["src", "node"], "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("src", "node", F.col("new").alias("dist")))
+        new = front.count()
+        since.append(front)
+        added += new
+        if added > size or len(since) >= 16:
+            for one in since:
+                base = base.unionByName(one)
+            base, since, added = materialise(least(base)), [], 0
+            size = base.count()
+    best = base
+    for one in since:
+        best = best.unionByName(one)
+    best = least(best)
     return best.join(targets.select("node").distinct(), "node").where("src <> node").select("src", F.col("node").alias("dst"), F.col("dist").alias("cost"))
 
 
@@ -198,8 +227,6 @@ def nodes_of(lines: DataFrame, tol: float) -> tuple[DataFrame, DataFrame]:
     ends = lines.select("edge_id", F.posexplode(F.array(F.get("line", 0), F.element_at("line", -1))).alias("end", "p"))
     ends = materialise(ends.select("edge_id", "end", grid(F.col("p"), "x"), grid(F.col("p"), "y")))
     seen = ends.groupBy("x", "y").agg(F.min(F.struct("edge_id", "end")).alias("first"))
-    from spanwise.operators.ranking import numbered
-
     nodes = materialise(numbered(seen.select("x", "y", "first.edge_id", "first.end"), ["edge_id", "end"], "node").select("node", "x", "y"))
     at = ends.join(nodes, ["x", "y"]).groupBy("edge_id").agg(F.max(F.when(F.col("end") == 0, F.col("node"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("node"))).alias("b"))
     return nodes, at.where("a <> b")
@@ -266,6 +293,70 @@ def smoothed(edges: DataFrame) -> DataFrame:
     return sums.join(tips, "chain", "left").select(F.coalesce("a", "any").alias("a"), F.coalesce("b", "any").alias("b"), "length", "parts")
 
 
+def airport_legs(legs: DataFrame, airports: DataFrame, roads: DataFrame, near: float = 1.0, reach: float = 2000.0) -> DataFrame:
+    """Air ``legs`` (leg, ax, ay, bx, by) whose ends at an airport (id, x, y) move to the nearest road end (id, x, y) within ``reach``.
+
+    An end is at an airport if it is at most ``near`` metres from one; an end without a road stays.
+    """
+    ends = legs.select("leg", F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.lit("b").alias("end"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e")).select("leg", "e.*")
+    ends = materialise(ends.withColumn("id", F.struct("leg", "end")))
+    at = spatial.nearest_within(ends.select("id", "x", "y"), airports, near).select(F.col("left_id").alias("id"))
+    moved = spatial.nearest_within(ends.join(at, "id", "left_semi").select("id", "x", "y"), roads, reach)
+    place = roads.groupBy(F.col("id").alias("right_id")).agg(F.min(F.struct("x", "y")).alias("p"))
+    new = moved.join(place, "right_id").select(F.col("left_id").alias("id"), F.col("p.x").alias("nx"), F.col("p.y").alias("ny"))
+    rows = ends.join(new, "id", "left").select("leg", "end", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
+    side = lambda e, k: F.max(F.when(F.col("end") == e, F.col(k))).alias(f"{e}{k}")
+    return rows.groupBy("leg").agg(side("a", "x"), side("a", "y"), side("b", "x"), side("b", "y"))
+
+
+def landing_welds(extra: DataFrame, base: DataFrame, reach: float = 100.0, vertex: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """(extra lines, base lines) after ends of ``extra`` (id, line) moved onto base lines (id, line) at most ``reach`` away.
+
+    An end takes the nearest vertex of the base line if that is within ``vertex`` of where it projects; else the base line gets a
+    vertex there. So both lines share a vertex.
+    """
+    ends = extra.select("id", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.get("line", 0).alias("p")), F.struct(F.lit(1).alias("end"), F.element_at("line", -1).alias("p")))).alias("e"))
+    ends = materialise(ends.select(F.struct("id", "e.end").alias("id"), "e.p.x", "e.p.y"))
+    parts = materialise(base.select(F.col("id").alias("line"), F.posexplode(G.segments(F.col("line"))).alias("part", "s")).select("line", "part", *[F.col(f"s.{e}.{k}").alias(f"{k}{n}") for n, e in ((1, "a"), (2, "b")) for k in "xy"]))
+    near = spatial.nearest_line(ends, parts, reach).join(parts, ["line", "part"])
+    along = lambda p, q: F.col(p) + F.col("t") * (F.col(q) - F.col(p))
+    px, py = along("x1", "x2"), along("y1", "y2")
+    near = near.withColumn("px", px).withColumn("py", py)
+    d1, d2 = G.distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1")), G.distance(F.col("px"), F.col("py"), F.col("x2"), F.col("y2"))
+    first = d1 <= d2
+    keep = F.least(d1, d2) <= vertex
+    x = F.when(keep, F.when(first, F.col("x1")).otherwise(F.col("x2"))).otherwise(F.col("px"))
+    y = F.when(keep, F.when(first, F.col("y1")).otherwise(F.col("y2"))).otherwise(F.col("py"))
+    hit = materialise(near.select("id", "line", "part", "t", x.alias("x"), y.alias("y"), (~keep).alias("new")))
+    to = hit.groupBy(F.col("id.id").alias("_id")).agg(*[F.max(F.when(F.col("id.end") == e, F.struct("x", "y"))).alias(f"_p{e}") for e in (0, 1)])
+    line = F.transform("line", lambda p, i: F.when((i == 0) & F.col("_p0").isNotNull(), F.col("_p0")).when((i == F.size("line") - 1) & F.col("_p1").isNotNull(), F.col("_p1")).otherwise(p))
+    welded = extra.join(to, F.col("id") == F.col("_id"), "left").select("id", line.alias("line"))
+    # New vertices come behind the vertex that begins their part, in the order along it; a place that repeats counts once.
+    fresh = hit.where("new").groupBy("line", "part", "x", "y").agg(F.min("t").alias("t")).groupBy(F.col("line").alias("_line")).agg(F.array_sort(F.collect_list(F.struct("part", "t", "x", "y"))).alias("_new"))
+    inserted = F.flatten(F.transform("line", lambda p, i: F.concat(F.array(p), F.transform(F.filter("_new", lambda v: v["part"] == i), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))))
+    cut = base.join(fresh, F.col("id") == F.col("_line"), "left").select("id", F.when(F.col("_new").isNull(), F.col("line")).otherwise(inserted).alias("line"))
+    return welded, cut
+
+
+def by_gap(connectors: DataFrame) -> DataFrame:
+    """Connectors (a, b, gap), the shortest first."""
+    return connectors.orderBy("gap", "a", "b")
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes, edges, components, largest, share): one row about a network of nodes (node) and edges (a, b)."""
+    sizes = components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
+    out = sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.max("n").alias("largest"))
+    return out.withColumn("share", F.col("largest") / F.col("nodes")).withColumn("edges", F.lit(edges.count()))
+
+
+def unweighted(edges: DataFrame, weights: DataFrame, months: int = 12) -> DataFrame:
+    """(edge_id, months, stray): edges without a weight for each month, and weights without an edge."""
+    n = weights.groupBy("edge_id").agg(F.countDistinct("month").alias("months"))
+    rows = edges.select("edge_id", F.lit(True).alias("_e")).join(n, "edge_id", "full_outer")
+    return rows.where(F.col("_e").isNull() | (F.coalesce("months", F.lit(0)) != months)).select("edge_id", F.coalesce("months", F.lit(0)).alias("months"), F.col("_e").isNull().alias("stray"))
+
+
 def mode_contribution(nodes: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
     """(node): nodes that are in the largest component only because of a mode."""
     giant = lambda e: ranked_components(nodes, e).where("is_giant").select("node")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,33 +16,51 @@ from spanwise.operators.ranking import first_per, numbered
 from spanwise.sources.scratch import materialise
 
 
-def _agglomerate(rows: pd.DataFrame, tol: float) -> pd.DataFrame:
-    """Complete linkage within one group, cut at ``tol``; the closest pair of clusters merges first, earlier rows first on ties."""
-    rows = rows.sort_values("id").reset_index(drop=True)
-    p = rows[["x", "y"]].to_numpy()
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
-    np.fill_diagonal(d, np.inf)
-    label, live = np.arange(len(p)), np.ones(len(p), bool)
-    while live.sum() > 1:
-        i, j = divmod(int(np.argmin(np.where(live[:, None] & live[None], d, np.inf))), len(p))
-        if d[i, j] > tol:
-            break
-        d[i] = d[:, i] = np.maximum(d[i], d[j])
-        d[i, i], live[j] = np.inf, False
-        label[label == j] = i
-    return pd.DataFrame({"id": rows["id"], "first": rows["id"].to_numpy()[[int(np.flatnonzero(label == k)[0]) for k in label]]})
+def _agglomerate(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Complete linkage of one component from its near pairs (a, b, dist); the closest pair of clusters merges first, smaller ids first on ties.
+
+    Two clusters can merge only if all their pairs are near, and their distance is the largest of these: so the pairs
+    are all that is needed, and a merger keeps the neighbours that both had.
+    """
+    ids = np.unique(np.concatenate([pairs["a"].to_numpy(), pairs["b"].to_numpy()]))
+    a, b = np.searchsorted(ids, pairs["a"].to_numpy()).tolist(), np.searchsorted(ids, pairs["b"].to_numpy()).tolist()
+    near: list[dict[int, float]] = [{} for _ in ids]
+    heap = []
+    for x, y, d in zip(a, b, pairs["dist"].tolist(), strict=True):
+        near[x][y] = near[y][x] = d
+        heap.append((d, min(x, y), max(x, y)))
+    heapq.heapify(heap)
+    first = list(range(len(ids)))
+    while heap:
+        d, x, y = heapq.heappop(heap)
+        if near[x].get(y) != d:
+            continue
+        first[y] = x
+        both = {k: max(e, near[x][k]) for k, e in near[y].items() if k in near[x]}
+        for old in (x, y):
+            for k in near[old]:
+                near[k].pop(old, None)
+        near[x], near[y] = both, {}
+        for k, e in both.items():
+            near[k][x] = e
+            heapq.heappush(heap, (e, min(x, k), max(x, k)))
+    # Clusters merge into the smaller one, so a step leads to a smaller place.
+    for k, x in enumerate(first):
+        first[k] = first[x] if x != k else k
+    return pd.DataFrame({"id": ids, "cluster": ids[first]})
 
 
 def complete_linkage(points: DataFrame, tol: float) -> DataFrame:
     """(id, cluster): clusters of points (id, x, y) whose diameter is at most ``tol``, named by their smallest id.
 
-    Clusters never leave a component of "closer than ``tol``", so each component is clustered alone.
+    Clusters never leave a component of "closer than ``tol``", so each component is clustered alone, from its near pairs.
     """
-    pairs = spatial.within(points, points, tol).where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    part = graph.components(points.select(F.col("id").alias("node")), pairs)
-    rows = points.select("id", "x", "y").join(part, F.col("id") == F.col("node"))
+    pairs = materialise(spatial.within(points, points, tol).where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "dist"))
+    part = graph.components(pairs.select(F.explode(F.array("a", "b")).alias("node")), pairs.select("a", "b"))
     kind = points.schema["id"].dataType.simpleString()
-    return rows.groupBy("component").applyInPandas(lambda pdf: _agglomerate(pdf, tol).rename(columns={"first": "cluster"}), f"id {kind}, cluster {kind}")
+    rows = pairs.join(part, F.col("a") == F.col("node")).select("component", "a", "b", "dist")
+    found = rows.groupBy("component").applyInPandas(lambda pdf: _agglomerate(pdf), f"id {kind}, cluster {kind}").withColumnRenamed("id", "_id")
+    return points.select("id").join(found, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def split_by_label(rows: DataFrame) -> DataFrame:
@@ -58,6 +78,46 @@ def split_by_label(rows: DataFrame) -> DataFrame:
     return all_.select("id", "cluster", F.coalesce("label", F.lit("")).alias("label")).join(order, ["cluster", "label"]).select("id", "site")
 
 
+def withheld(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that take part, rows under review): what waits for a decision is listed and not lost."""
+    waiting = F.coalesce(F.lower("qc_status") == "pending_review", F.lit(False))
+    return rows.where(~waiting), rows.where(waiting)
+
+
+def sited(rows: DataFrame, modes: list[str], capacity: str = "total_capacity") -> DataFrame:
+    """Sites (cluster, site_id, delivery_method, capacity) with a mode of ``modes`` and a capacity. Ids are texts, whole numbers without
+    a fraction; a site without one is named SYN- and its cluster."""
+    kept = F.array_intersect(S.modes_in(F.col("delivery_method")), F.array(*[F.lit(m) for m in modes]))
+    out = rows.withColumn("delivery_method", S.mode_text(kept)).where(F.col("delivery_method").isNotNull() & F.col(capacity).isNotNull())
+    own = F.nullif(F.regexp_replace(F.trim(F.col("site_id").cast("string")), r"\.0+$", ""), F.lit(""))
+    return out.withColumn("site_id", F.coalesce(own, F.concat(F.lit("SYN-"), F.col("cluster").cast("string"))))
+
+
+def anchors_of(hubs: DataFrame, mode: str) -> DataFrame:
+    """(id, x, y) of the hubs that are served by a mode: anchors that no layer holds."""
+    return hubs.where(F.array_contains(S.modes_in(F.col("delivery_method")), mode)).select(F.col("hub_id").alias("id"), "x", "y")
+
+
+def triage(hubs: DataFrame, snaps: DataFrame, nodes: DataFrame, reach: float, start: float = 1000.0) -> DataFrame:
+    """(hub_id, problem, giant_km, water_km) of hubs that aren't on the largest component of nodes (node, x, y, is_giant, wet), where it is at most ``reach`` metres away."""
+    on = snaps.select("hub_id", "node_id").join(nodes.select(F.col("node").alias("node_id"), "is_giant"), "node_id", "left")
+    rows = materialise(hubs.select("hub_id", "x", "y").join(on, "hub_id", "left").where(~F.coalesce("is_giant", F.lit(False))))
+    at = rows.select(F.col("hub_id").alias("id"), "x", "y")
+    giant = nodes.where("is_giant").select(F.col("node").alias("id"), "x", "y", "wet")
+    km = lambda df, name: spatial.nearest(at, df.select("id", "x", "y"), start).select(F.col("left_id").alias("hub_id"), F.round(F.col("dist") / 1000, 2).alias(name))
+    out = rows.join(km(giant, "giant_km"), "hub_id", "left").join(km(giant.where("wet"), "water_km"), "hub_id", "left")
+    problem = F.when(F.col("node_id").isNull(), "unplaced").otherwise("disconnected")
+    return out.where(F.col("giant_km") <= reach / 1000).select("hub_id", problem.alias("problem"), "giant_km", "water_km")
+
+
+def rescued(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(hub_id, state): whether hubs reach the largest component in an old and a new network, tables (hub_id, is_giant) with a row per site."""
+    best = lambda df, name: df.groupBy("hub_id").agg(F.max("is_giant").alias(name))
+    rows = best(old, "was").join(best(new, "is"), "hub_id", "full_outer")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return rows.select("hub_id", F.when(yes("was") & yes("is"), "connected").when(yes("is"), "rescued").when(yes("was"), "lost").otherwise("disconnected").alias("state"))
+
+
 def first_non_null(name: str, order: str) -> Column:
     """Aggregate: the first value, in ``order``, that isn't null."""
     return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), F.col(order)))
@@ -127,10 +187,10 @@ def supplier_or_receiver(hubs: DataFrame, how: str = "percentile", level: float
 
 
 def natural_break(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, cut): the least value of the upper of two natural classes (least squared error within); fewer than three
-    different values take the 90th percentile."""
+    """(key, cut): the largest value of the lower of two natural classes (least squared error within), from which on a row is
+    of the upper kind; fewer than three different values take the 90th percentile."""
     n = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(key)
     v = F.col(value)
     rows = n.withColumn("n_lo", F.sum("n").over(w)).withColumn("s_lo", F.sum(F.col("n") * v).over(w)).withColumn("q_lo", F.sum(F.col("n") * v * v).over(w))
@@ -138,7 +198,7 @@ def natural_break(df: DataFrame, key: str, value: str) -> DataFrame:
         rows = rows.withColumn(name, F.sum(what).over(all_))
     lower = F.col("q_lo") - F.col("s_lo") ** 2 / F.col("n_lo")
     upper = F.col("q_all") - F.col("q_lo") - (F.col("s_all") - F.col("s_lo")) ** 2 / (F.col("n_all") - F.col("n_lo"))
-    cut = rows.where("n_lo is not null and kinds >= 3").groupBy(key).agg(F.min_by(v, F.struct(F.round(lower + upper, 6), v)).alias("_j"))
+    cut = rows.where("n_lo < n_all and kinds >= 3").groupBy(key).agg(F.min_by(v, F.struct(F.round(lower + upper, 6), v)).alias("_j"))
     plain = df.groupBy(key).agg(F.percentile(value, 0.90).alias("_p"))
     return plain.join(cut.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").select(key, F.coalesce("_j", "_p").alias("cut"))
 
@@ -150,7 +210,7 @@ def tagged(facilities: DataFrame, places: DataFrame, regions: DataFrame, side: f
     else the nearest in reach.
     """
     held = spatial.first_polygon(facilities, places.select("poly", "rings"), side).join(places.select("poly", F.col("name").alias("place")), "poly", "left").select("id", "place")
-    region = spatial.nearest_polygon(facilities, regions.select("poly", "rings"), reach).join(regions.select("poly", F.col("name").alias("region")), "poly").select("id", "region")
+    region = spatial.nearest_polygon(facilities, regions.select("poly", "rings"), reach, side).join(regions.select("poly", F.col("name").alias("region")), "poly").select("id", "region")
     named = places.select(S.canon(F.col("name")).alias("_key")).distinct().withColumn("_known", F.lit(True))
     rows = facilities.join(held, "id", "left").join(region, "id", "left").withColumn("_key", S.canon(F.col("label"))).join(named, "_key", "left")
     match = F.when(F.col("_key").isNull(), "n/a").when(F.col("place").isNull(), F.when(F.col("_known"), "neighbor").otherwise("n/a")).when(S.canon(F.col("place")) == F.col("_key"), "agree").otherwise("conflict")
@@ -192,12 +252,44 @@ def snapped(hubs: DataFrame, nodes: DataFrame, snap_types: list[str], cap: float
     rows = hubs.select("hub_id", "n").join(found, "hub_id", "left")
     beyond = F.lit(cap > 0) & (F.col("dist") > cap)
     rows = rows.withColumn("node_id", F.when(~beyond, F.col("node_id"))).withColumn("status", F.when(beyond | F.col("dist").isNull(), "unplaced:beyond_cap"))
-    w = Window.partitionBy("node_id").orderBy("n")
-    head = F.first("hub_id").over(w)
-    status = F.coalesce("status", F.when(F.row_number().over(w) == 1, "placed").otherwise(F.concat(F.lit("merged:"), head)))
+    # Who has a node is found by its number alone: hubs without a node never meet in one task.
+    head = rows.where("node_id is not null").groupBy("node_id").agg(F.min(F.struct("n", "hub_id")).alias("_head"))
+    rows = rows.join(head, "node_id", "left")
+    status = F.coalesce("status", F.when(F.col("_head.hub_id") == F.col("hub_id"), "placed").otherwise(F.concat(F.lit("merged:"), F.col("_head.hub_id"))))
     return rows.select("hub_id", "node_id", F.col("dist").alias("snap_dist_m"), status.alias("status"))
 
 
+def landed_on_edges(snaps: DataFrame, hubs: DataFrame, edges: DataFrame, reach: float, node_tol: float, first_new: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(snaps, nodes, cuts): hubs that ``snapped`` left unplaced, on the nearest of straight ``edges`` within ``reach``.
+
+    ``edges`` is (edge_id, a, b, ax, ay, bx, by). A hub that projects to within ``node_tol`` of an end takes that end's node;
+    else the edge is cut there, and hubs that project to the same rounded place share the node. New nodes (node, x, y) are
+    numbered from ``first_new``; cuts (edge_id, at, node) are what ``graph.split_edges`` takes. Hubs placed before stay.
+    """
+    open_ = snaps.where("node_id is null").select("hub_id").join(hubs, "hub_id").select(F.col("hub_id").alias("id"), "x", "y")
+    lines = edges.select(F.col("edge_id").alias("line"), F.lit(0).alias("part"), F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
+    near = spatial.nearest_line(open_, lines, reach).join(edges, F.col("line") == F.col("edge_id"))
+    near = near.withColumn("length", G.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).withColumn("at", F.col("t") * F.col("length"))
+    grid = lambda p, q: F.rint((F.col(p) + F.col("t") * (F.col(q) - F.col(p))) / node_tol) * node_tol
+    end = F.when(F.col("at") <= node_tol, F.col("a")).when(F.col("at") >= F.col("length") - node_tol, F.col("b"))
+    near = materialise(near.select("id", "edge_id", "at", "dist", end.alias("end"), grid("ax", "bx").alias("gx"), grid("ay", "by").alias("gy")))
+    places = near.where("end is null").select("gx", "gy").distinct()
+    nodes = materialise(numbered(places, ["gx", "gy"], "node", first_new).select("node", F.col("gx").alias("x"), F.col("gy").alias("y")))
+    found = near.join(nodes.select(F.col("node").alias("new"), F.col("x").alias("gx"), F.col("y").alias("gy")), ["gx", "gy"], "left")
+    found = materialise(found.select("id", "edge_id", "at", "dist", "end", F.coalesce("end", "new").alias("node")))
+    cuts = found.where("end is null").groupBy("edge_id", "node").agg(F.min("at").alias("at")).select("edge_id", "at", "node")
+    # Who takes a node first is decided over all hubs on it, those that were placed before first of all.
+    before = snaps.where("status = 'placed'").select("node_id", F.col("hub_id").alias("_holder"))
+    order = found.join(hubs.select(F.col("hub_id").alias("id"), "n"), "id").join(before, F.col("node") == F.col("node_id"), "left")
+    head = order.groupBy("node").agg(F.min(F.struct("n", "id")).alias("_head"))
+    order = order.join(head, "node").withColumn("_first", F.coalesce("_holder", "_head.id"))
+    status = F.when(F.col("_first") == F.col("id"), "placed").otherwise(F.concat(F.lit("merged:"), F.col("_first")))
+    new = order.select(F.col("id").alias("hub_id"), F.col("node").alias("_node"), F.col("dist").alias("_dist"), status.alias("_status"))
+    out = snaps.join(new, "hub_id", "left")
+    out = out.select("hub_id", F.coalesce("_node", "node_id").alias("node_id"), F.coalesce("_dist", "snap_dist_m").alias("snap_dist_m"), F.coalesce("_status", "status").alias("status"))
+    return out, nodes, cuts
+
+
 def merged_nodes(snaps: DataFrame, hubs: DataFrame) -> DataFrame:
     """(node_id, hub_id, capacity, delivery_method, hub_type, n_hubs): what stands at a node after merging; a Supplier wins."""
     rows = snaps.where("node_id is not null").join(hubs, "hub_id")

@@ -154,8 +154,8 @@ def filled(target: DataFrame, known: DataFrame, cap: float, k: int, start: float
 
 
 def detected_scale(cells: DataFrame) -> Column:
-    """Divisor for values that may be percents: 100 if the largest is over 1.5 (an aggregate)."""
-    return F.when(F.max("value") > 1.5, 100.0).otherwise(1.0)
+    """Divisor for values that may be percents: 100 if the largest is over 1 (an aggregate)."""
+    return F.when(F.max("value") > 1.0, 100.0).otherwise(1.0)
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

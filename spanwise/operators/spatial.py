@@ -126,11 +126,23 @@ def first_polygon(points: DataFrame, polygons: DataFrame, side: float) -> DataFr
     return points.select("id").join(hit, "id", "left")
 
 
-def nearest_polygon(points: DataFrame, polygons: DataFrame, cap: float) -> DataFrame:
-    """(id, poly, dist) of the nearest polygon at most ``cap`` away; 0 inside."""
+def nearest_polygon(points: DataFrame, polygons: DataFrame, cap: float, start: float | None = None) -> DataFrame:
+    """(id, poly, dist) of the nearest polygon at most ``cap`` away; 0 inside.
+
+    The reach grows from ``start`` (from the cap itself, if none is given) by doubling, and only points without a polygon are
+    asked again, so few points meet the polygons of wide cells.
+    """
     d = G.to_polygon(F.col("x"), F.col("y"), F.col("rings"))
-    rows = candidates(points, polygons, max(cap, 1.0), cap).select("id", "poly", d.alias("dist")).where(F.col("dist") <= cap)
-    return rows.groupBy("id").agg(F.min(F.struct("dist", "poly")).alias("b")).select("id", "b.poly", "b.dist")
+    reach, open_, out = min(start or cap, cap), points, None
+    while True:
+        rows = candidates(open_, polygons, max(reach, 1.0), reach).select("id", "poly", d.alias("dist")).where(F.col("dist") <= reach)
+        found = rows.groupBy("id").agg(F.min(F.struct("dist", "poly")).alias("b")).select("id", "b.poly", "b.dist")
+        if reach >= cap:
+            return found if out is None else out.unionByName(found)
+        found = materialise(found)
+        out = found if out is None else out.unionByName(found)
+        open_ = materialise(open_.join(found.select("id"), "id", "left_anti"))
+        reach = min(2 * reach, cap) if not open_.isEmpty() else cap
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, tol: float) -> DataFrame:

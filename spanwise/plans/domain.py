@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.functions.albers import ALASKA, AXIS, E1, E2
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,3 +69,13 @@ FACILITIES = """facility AS (
          c_acctbal AS total_capacity, c_custkey % 60 AS tank_farm_id,
          CASE c_custkey % 3 WHEN 0 THEN 'Barge or Road' WHEN 1 THEN 'Plane, Barge' END AS delivery_method
   FROM customer)"""
+
+
+def albers(lon: str, lat: str) -> str:
+    """SQL of x and y for longitude and latitude, by the formulas of the projection."""
+    sin = f"sin(radians({lat}))"
+    q = f"({1 - E2!r}::DOUBLE * ({sin} / (1 - {E2!r}::DOUBLE * {sin} * {sin}) - ln((1 - {E1!r}::DOUBLE * {sin}) / (1 + {E1!r}::DOUBLE * {sin})) / {2 * E1!r}::DOUBLE))"
+    rho = f"({AXIS!r}::DOUBLE * sqrt({ALASKA.c!r}::DOUBLE - {ALASKA.n!r}::DOUBLE * {q}) / {ALASKA.n!r}::DOUBLE)"
+    d = f"({lon} - {ALASKA.lon0!r}::DOUBLE)"
+    theta = f"({ALASKA.n!r}::DOUBLE * radians({d} - 360 * round_even({d} / 360, 0)))"
+    return f"{rho} * sin({theta}) AS x, {ALASKA.rho0!r}::DOUBLE - {rho} * cos({theta}) AS y"

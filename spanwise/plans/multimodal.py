@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from spanwise.operators import costs, graph, raster
 
-#: The surface that an edge type is sampled from; others aren't sampled.
-SURFACE = {"Road": "road_base", "RoadConnector": "road_base", "IceRoad": "overland", "IceRoadConnector": "overland", "Waterway": "barge"}
-
 
 def sampled_stats(edges: DataFrame, surfaces: DataFrame, x0: float, y0: float) -> DataFrame:
     """(edge_id, month, avg_friction, nodata_frac) of edges (edge_id, type, line) on surfaces (mode, month, row, col, value).
 
     Lines are sampled once, whatever the month; a surface whose month is null holds for all months.
     """
-    kind = F.create_map(*[F.lit(v) for kv in SURFACE.items() for v in kv])
-    rows = edges.where(F.col("type").isin(*SURFACE)).withColumn("mode", kind[F.col("type")])
+    kind = F.create_map(*[F.lit(v) for kv in costs.SURFACE.items() for v in kv])
+    rows = edges.where(F.col("type").isin(*costs.SURFACE)).withColumn("mode", kind[F.col("type")])
     points = raster.line_samples(rows, "edge_id").join(rows.select("edge_id", "mode"), "edge_id")
     row, col = raster.cell_of(F.col("x"), F.col("y"), x0, y0)
     at = points.select("edge_id", "mode", row.alias("row"), col.alias("col"), "length")

@@ -95,7 +95,8 @@ def build(lines: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
             new = graph.join_components(xy, edges.select("a", "b"), profile.join_reach)
         else:
             first_wet = nodes.where("wet").agg(F.min("node")).first()[0]
-            new = graph.connect_to_giant(xy, edges.select("a", "b"), profile.join_reach, first_wet)
+            road = base.where(F.col("type") == "Road").select(F.explode(F.array("a", "b")).alias("node"))
+            new = graph.connect_to_giant(xy, edges.select("a", "b"), profile.join_reach, first_wet, road)
         edges = materialise(edges.unionByName(_connectors(new, "join")))
     typed = graph.classify_connectors(edges)
     order = ["line_id_", "seq", "a", "b", "source"]

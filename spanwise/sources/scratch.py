@@ -9,16 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset (one machine) under a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new path under ``spark.checkpoint.dir``; only a local session may leave that unset and gets a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spanwise-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/spanwise/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read back. Cuts the lineage of iterations; lost executors lose nothing."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` read back from the Parquet that it is written to, and where that is."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet and read back. Cuts the lineage of iterations; lost executors lose nothing."""
+    return written(df)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what ``written`` left at ``path`` and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

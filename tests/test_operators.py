@@ -62,7 +62,10 @@ def test_connect_to_giant(spark):
     xy = pts(spark, [(0, 0, 0), (1, 100, 0), (2, 150, 0), (3, 180, 0), (4, 280, 0), (5, 9000, 0)])
     pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 4)], "a long, b long")
     near = graph.connect_to_giant(xy, pairs, 100.0, 2).collect()
-    assert [(r.a, r.b, r.source) for r in near] == [(3, 2, "join:shore")]
+    assert [(r.a, r.b, r.source) for r in near] == [(3, 2, "shore:Barge↔Road")]
+    ice = spark.createDataFrame([(4,)], "node long")
+    assert [r.source for r in graph.connect_to_giant(xy, pairs, 100.0, 2, ice).collect()] == ["shore:Barge↔IceRoad"]
+    assert [r.source for r in graph.connect_to_giant(xy, pairs, 100.0).collect()] == ["weld:to-giant"]
     assert graph.connect_to_giant(xy, pairs, 0.0).count() == 0
     assert graph.join_components(xy, pairs, 10000.0).count() == 2
 
@@ -115,7 +118,7 @@ def test_hub_types(spark):
     got = hubs.supplier_or_receiver(df)
     assert sorted(r.capacity for r in got.where("delivery_method = 'm' and hub_type = 'Supplier'").collect()) == [100.0]
     assert got.where("delivery_method = 'k' and hub_type = 'Supplier'").count() == 6
-    assert hubs.supplier_or_receiver(df, "jenks").where("delivery_method = 'm' and hub_type = 'Supplier'").count() == 1
+    assert hubs.supplier_or_receiver(df, "jenks").where("delivery_method = 'm' and hub_type = 'Supplier'").count() == 2
     assert hubs.supplier_or_receiver(df, "absolute", 500.0).where("hub_type = 'Supplier'").count() == 6
 
 
@@ -158,18 +161,61 @@ def test_inventory(spark):
     fixes = spark.createDataFrame([(1, "n", "a", "c", "approved", 1), (1, "n", "c", "d", "approved", 2), (2, "n", "x", "y", "approved", 3), (9, "n", "x", "y", "approved", 4), (2, "v", "2.0000001", "5", "approved", 5), (2, "zz", "1", "2", "approved", 6)], "k long, field string, old_value string, new_value string, status string, seq long")
     new, log = inventory.guarded_update(old, "k", ["n", "v"], fixes)
     assert sorted(map(tuple, new.collect())) == [(1, "d", 1.0), (2, "b", 5.0)]
-    assert {r.seq: r.outcome for r in log.collect()} == {1: "applied", 2: "applied", 3: "skipped-old-value", 4: "skipped-no-record", 5: "applied", 6: "skipped-no-field"}
-    ids = spark.createDataFrame([("r1", 5, 1), ("r2", 5, 2), ("r3", None, 3), ("r4", 9, 4)], "record_id string, own_id long, source_row long")
-    ledger = spark.createDataFrame([("r4", 40)], "record_id string, facility_id long")
-    assert {r.record_id: (r.facility_id, r.id_source) for r in inventory.minted_ids(ids, ledger).collect()} == {"r1": (5, "own"), "r2": (41, "minted"), "r3": (42, "minted"), "r4": (40, "ledger")}
+    assert {r.seq: r.outcome for r in log.collect()} == {1: "applied", 2: "applied", 3: "skipped-old-value-mismatch", 4: "skipped-record-absent", 5: "applied", 6: "skipped-unknown-field"}
+    ids = spark.createDataFrame([("r1", 5, 1, True), ("r2", 5, 2, True), ("r3", None, 3, True), ("r4", 9, 4, True), ("r5", 77, 5, False), ("r6", 41, 6, True)], "record_id string, own_id long, source_row long, located boolean")
+    ledger = spark.createDataFrame([("r4", 40, "own"), ("zz", 41, "synthetic")], "record_id string, facility_id long, id_source string")
+    assigned, problems = inventory.minted_ids(ids, ledger)
+    assert {r.record_id: (r.facility_id, r.id_source, r.own_differs) for r in assigned.collect()} == {
+        "r1": (5, "own", False), "r2": (5, "own", False), "r3": (78, "synthetic", False), "r4": (40, "ledger", True), "r5": (None, "unlocated", False), "r6": (79, "synthetic", False),
+    }
+    assert {tuple(r) for r in problems.collect()} == {("id of two records", 5), ("own id was minted for another record", 41)}
+
+
+TH = {"shared_point_m": 1.0, "label_spread_km": 30.0, "typo_match_km": 3.0, "capacity_mismatch_gal": 1.0}
 
 
 def test_detectors(spark):
     x, y = ALASKA.forward(F.col("longitude"), F.col("latitude"))
     rows = [("a", "NOME", 64.5, -165.4, 1, 7), ("b", "NOME", 64.5001, -165.4, 2, 7), ("c", "NOME", 65.5, -165.4, 3, 7), ("d", "ELIM", 64.5, -165.401, 1, 8)]
     df = spark.createDataFrame(rows, "record_id string, community_key string, latitude double, longitude double, tank_farm_id long, community_id long").withColumn("x", x).withColumn("y", y)
-    flags = {(r.record_id, r.detector) for r in inventory.detected(df, {}).collect()}
-    assert ("c", "one_digit_typo") in flags and ("a", "shared_farm_id") in flags and ("d", "shared_farm_id") in flags
+    diff = spark.createDataFrame([("a", "edited", "map_x", "1", "2"), ("b", "edited", "map_x", "1", "9"), ("c", "edited", "note", "x", None), ("d", "added", None, None, None), ("d", "edited", "last_edited", "1", "2")], "record_id string, change string, field string, old_value string, new_value string")
+    flags = inventory.detected(df, TH, diff=diff)
+    got = {(r.record_id, r.detector): r.severity for r in flags.collect()}
+    assert got["c", "one_digit_typo"] == "high" and got["a", "shared_farm_id"] == "info" and got["d", "shared_farm_id"] == "high"
+    assert got["b", "release_diff"] == "medium" and got["c", "release_diff"] == "info" and ("a", "release_diff") not in got and ("d", "release_diff") not in got
+    order = [{"high": 0, "medium": 1, "low": 2, "info": 3}[r.severity] for r in flags.collect()]
+    assert order == sorted(order)
+    ran = {r.detector: (r.status, r.records_flagged) for r in inventory.detectors_run(df, flags, diff).collect()}
+    assert ran["release_diff"] == ("ran", 2) and ran["map_point_disagrees"][0] == "skipped" and ran["one_digit_typo"] == ("ran", 1)
+
+
+def test_exclusions_and_statuses(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", 377.0, "x"), ("b", 1.0, "y"), ("c", 2.0, "z")], "record_id string, tank_farm_id double, name string")
+    rows = [("a", "exclude", "tank_farm_id=377", None, "approved", "r", "d", 1, "copy"), ("b", "exclude", "tank_farm_id=9", None, "approved", "r", "d", 2, "copy"), ("c", "exclude", None, None, "pending", "r", "d", 3, "x"), ("q", "exclude", None, None, "approved", "r", "d", 4, "gone")]
+    fixes = spark.createDataFrame(rows, "record_id string, field string, old_value string, new_value string, status string, reviewer string, reviewed_on string, seq long, reason string")
+    kept, excluded, log = inventory.without_excluded(df, inventory.checked_corrections(fixes))
+    assert {r.record_id for r in kept.collect()} == {"b", "c"} and [(r.record_id, r.exclusion_reason) for r in excluded.collect()] == [("a", "copy")]
+    assert {r.seq: r.outcome for r in log.collect()} == {1: "applied", 2: "skipped-old-value-mismatch", 4: "skipped-record-absent"}
+    with pytest.raises(ValueError, match="unknown status"):
+        inventory.checked_corrections(fixes.withColumn("status", F.lit("maybe")))
+    with pytest.raises(ValueError, match="lack reviewer"):
+        inventory.checked_corrections(fixes.drop("reviewer"))
+    assert inventory.thresholds(spark.createDataFrame([("a", "2.5", "m")], "name string, value string, unit string")) == {"a": 2.5}
+
+
+def test_landing_on_edges(spark):
+    h = spark.createDataFrame([("Hub_1", 1, 500.0, 30.0, "Road"), ("Hub_2", 2, 500.0, -20.0, "Road"), ("Hub_3", 3, 0.5, 90.0, "Road"), ("Hub_4", 4, 700.0, 900.0, "Road")], "hub_id string, n long, x double, y double, delivery_method string")
+    n = spark.createDataFrame([(0, "Road", 0.0, 0.0), (1, "Road", 1000.0, 0.0)], "node long, type string, x double, y double")
+    e = spark.createDataFrame([(7, 0, 1, 0.0, 0.0, 1000.0, 0.0)], "edge_id long, a long, b long, ax double, ay double, bx double, by double")
+    snaps = hubs.snapped(h, n, ["Road"], 10.0)
+    assert {r.status for r in snaps.collect()} == {"unplaced:beyond_cap"}
+    out, nodes, cuts = hubs.landed_on_edges(snaps, h, e, 100.0, 1.0, 50)
+    assert {r.hub_id: (r.node_id, r.status) for r in out.collect()} == {"Hub_1": (50, "placed"), "Hub_2": (50, "merged:Hub_1"), "Hub_3": (0, "placed"), "Hub_4": (None, "unplaced:beyond_cap")}
+    assert [tuple(r) for r in nodes.collect()] == [(50, 500.0, 0.0)] and [tuple(r) for r in cuts.collect()] == [(7, 500.0, 50)]
+    parts = graph.split_edges(e.select("edge_id", "a", "b", F.lit(1000.0).alias("length")), cuts)
+    assert {(r.a, r.b, r.length) for r in parts.collect()} == {(0, 50, 500.0), (50, 1, 500.0)}
 
 
 def test_weights_and_checks(spark):
@@ -241,10 +287,11 @@ def test_quality_control_plan(spark):
     mapping = [{"source_column": a, "schema_column": b, "type": "", "keep": "yes", "fold_into": ""} for a, b in pairs.items()]
     fixes = spark.createDataFrame([("r1", "total_capacity", "5", "100", "approved", 1)], "record_id string, field string, old_value string, new_value string, status string, seq long")
     aliases = spark.createDataFrame([("x", "y")], "variant string, canonical string")
-    p = quality_control.publish(raw, mapping, schema, fixes, aliases, {}, ["total_capacity"])
+    p = quality_control.publish(raw, mapping, schema, fixes, aliases, TH, ["total_capacity"])
     rows = {r.record_id: r for r in p.rows.collect()}
-    assert rows["r1"].total_capacity == 100.0 and rows["r1"].capacity_status == "ok" and rows["r1"].community_key == "NOME" and rows["r1"].map_x is not None
+    assert rows["r1"].total_capacity == 100.0 and rows["r1"].capacity_status == "ok" and rows["r1"].community_key == "NOME" and rows["r1"].map_x is None
     flags = {(r.record_id, r.detector) for r in p.flags.collect()}
     assert ("r2", "alaska_envelope") in flags and ("r1", "placeholder_inspection_date") in flags and ("r2", "missing_fields") in flags
-    assert {r.record_id for r in p.queue.collect()} == {"r2"}
+    assert {r.record_id for r in p.queue.collect()} == {"r2"} and rows["r2"].qc_status == "pending_review" and rows["r1"].qc_status == "clean"
+    assert rows["r1"].last_inspected is None and rows["r1"].corrections_applied == "total_capacity" and rows["r1"].coordinate_source == "publisher"
     assert all(r.passed for r in p.checks.collect())

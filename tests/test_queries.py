@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, same
 
-from spanwise.plans.more_queries import ORACLE_SQL, QUERIES
+from spanwise.plans.extra_queries import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

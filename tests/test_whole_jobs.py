@@ -5,7 +5,7 @@ import heapq
 import pytest
 from conftest import SF
 
-from spanwise.plans.more_queries import QUERIES
+from spanwise.plans.extra_queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -31,12 +31,12 @@ def labels_of(pairs):
 
 def test_components_see_every_line_item(spark, line_items):
     want = labels_of([(a, b) for a, b, _, _ in line_items])
-    assert {r.node: r.component for r in QUERIES["components_labels_all"](spark, SF).collect()} == want
+    assert {r.node: r.component for r in QUERIES["components_labels"](spark, SF).collect()} == want
     sizes = {}
     for c in want.values():
         sizes[c] = sizes.get(c, 0) + 1
     ranked = [n for _, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0]))]
-    got = sorted(tuple(r) for r in QUERIES["component_sizes_all"](spark, SF).select("component", "size", "is_giant").collect())
+    got = sorted(tuple(r) for r in QUERIES["component_sizes"](spark, SF).select("component", "size", "is_giant").collect())
     assert got == [(k, n, k == 1) for k, n in enumerate(ranked, 1)]
 
 
@@ -58,7 +58,7 @@ def test_shortest_paths_use_every_line_item(spark, duck, line_items):
                         best[y] = d + w
                         heapq.heappush(heap, (d + w, y))
         want |= {(s, x): float(d) for x, d in best.items() if x != s}
-    assert {(r.src, r.dst): r.cost for r in QUERIES["shortest_path_costs_all"](spark, SF).collect()} == want
+    assert {(r.src, r.dst): r.cost for r in QUERIES["shortest_path_costs"](spark, SF).collect()} == want
 
 
 def made(spark, tmp_path, name, sql):
@@ -83,6 +83,6 @@ POINTS = "SELECT id AS vec_id, array(float(id % 25) / 4, float(id div 25) / 4, 0
 def test_every_point_is_noded_rasterised_and_in_a_blob(spark, tmp_path):
     sf = made(spark, tmp_path, "embeddings", POINTS)
     assert {r.seg for r in QUERIES["planar_noding"](spark, sf).select("seg").collect()} == set(range(250))
-    assert {r.id: r.blob for r in QUERIES["buffer_blobs_all"](spark, sf).collect()} == {k: k for k in range(250)}
+    assert {r.id: r.blob for r in QUERIES["buffer_blobs"](spark, sf).collect()} == {k: k for k in range(250)}
     cells = {tuple(r) for r in QUERIES["line_corridor_cells"](spark, sf).collect()}
     assert all(((50000 - y * 25000) // 150, (x * 25000 + 50000) // 150) in cells for x in range(25) for y in range(10))
