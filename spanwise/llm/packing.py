@@ -12,6 +12,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import os
@@ -28,12 +29,12 @@ from spanwise.llm.common import materialise, released, slices, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Rows of a length that are ranked together.
-SLICE = 200_000
+#: About the rows of a length that are ranked together.
+SLICE = 4096
 #: About the bytes of remembered words that a worker holds, twice.
 HELD = 40 << 20
 #: Characters whose unknown words are tokenised in one call.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 20
 
 
 
@@ -41,7 +42,8 @@ class Words:
     """Ids of what stands between spaces. The vocabulary drops white space and no token spans it.
 
     A word of letters is one pre-token, and so is a run of marks behind it: both are kept apart, so that a word costs once
-    whatever follows it. Letters are tokenised many words at a time and parted where a token ends a word.
+    whatever follows it. ASCII letters go to the tokenizer's model one by one; other letters are tokenised many words at a time
+    and parted where a token ends a word.
 
     Words are remembered in two generations of HELD bytes: when the new one is full it becomes the old one, and what is
     asked for again moves back into the new one.
@@ -52,6 +54,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
@@ -68,8 +71,8 @@ class Words:
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
     def together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        """Ids of words of letters, many at a time."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             return self.one_by_one(words)
@@ -92,22 +95,34 @@ class Words:
         """See to it that ``new`` holds all of ``words``, until the next call."""
         if self.weight > HELD:
             self.old, self.new, self.weight = self.new, {}, 0
-        split, odd = [], set()
+        # Lists side by side, not of pairs: so the collector of cycles has nothing to look at.
+        whole, cores, tails, odd = [], [], [], set()
         for w in self.unknown(words):
             core = w.rstrip(MARKS)
             if core.isascii():
                 core = core.lower()
             if core.isalpha() and core.lower().isalpha():
-                split.append((w, core, w[len(core) :]))
+                whole.append(w)
+                cores.append(core)
+                tails.append(w[len(core) :])
             else:
                 odd.add(w)
-        ask = sorted(self.unknown({core for _, core, _ in split}))
-        for k in range(0, len(ask), 20_000):
-            self.hold(self.together(ask[k : k + 20_000]))
-        self.hold(self.one_by_one(sorted(odd | self.unknown({t for _, _, t in split if t}))))
+        ask, other = self.unknown(set(cores)), []
+        plain: dict[str, bytes] = {}
+        for core in ask:
+            # Lower-case ASCII letters are what the model itself reads; others are first made so by the tokenizer's steps.
+            if core.isascii():
+                plain[core] = array.array("I", [x.id for x in self.model.tokenize(core)]).tobytes()
+            else:
+                other.append(core)
+        self.hold(plain)
+        other.sort()
+        for k in range(0, len(other), 20_000):
+            self.hold(self.together(other[k : k + 20_000]))
+        self.hold(self.one_by_one(sorted(odd | self.unknown(set(tails) - {""}))))
         new = self.new
         new[""] = b""
-        self.hold({w: new[core] + new[tail] for w, core, tail in split})
+        self.hold({w: new[core] + new[tail] for w, core, tail in zip(whole, cores, tails, strict=True)})
 
 
 #: Marks that end words; any other mark inside makes a word one to be tokenised by itself.
@@ -399,8 +414,9 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     """Per piece its document, place in the document, checksum, and place in the sequences."""
     cut = materialise(pieces(docs, path))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slices = 1 + max(histogram.values(), default=0) // SLICE
-    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    # A row per length, so never more than CAPACITY.
+    parts = docs.sparkSession.createDataFrame([(k, 1 + n // SLICE) for k, n in histogram.items()], "length long, slices long")
+    cut = cut.join(F.broadcast(parts), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slices")))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     first = cut.groupBy("length", "slice").agg(F.count("*").alias("n")).select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
