@@ -180,3 +180,42 @@ def lookup_tiers(df: DataFrame, key: Column, tiers: list[DataFrame]) -> DataFram
 def manifest(spark: SparkSession, path: str) -> dict:
     """A JSON object kept as a text file."""
     return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def matched_places(names: DataFrame, places: DataFrame, fixed: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(name, x, y, tier): where a name of an airport or place is, by the first way that finds one.
+
+    1 ``fixed`` (name, x, y); 2 ``overrides`` (name, code); 3 a code of three capitals; 4 the whole name; 5 the name without words
+    like "airport"; 6 one of the two is a word of the other, for names of four letters or more. ``places`` is (code, name, x, y);
+    of several the smallest code counts. Names are compared in lower case, with single spaces. All ways are equal joins.
+    """
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    at = F.struct(F.col("code").alias("k"), "x", "y")
+    rows = names.select("name").distinct().withColumn("_n", norm(F.col("name"))).withColumn("_b", S.base_name(F.col("name")))
+    by_code = places.groupBy(F.upper("code").alias("_c")).agg(F.min(at).alias("p"))
+    keyed = places.select(S.base_name(F.col("name")).alias("_k"), "code", "x", "y").where("_k is not null")
+    by_name = keyed.groupBy("_k").agg(F.min(at).alias("p"))
+    hit = lambda df, key, other, n: rows.join(df, F.col(key) == F.col(other)).select("name", F.struct(F.lit(n).alias("tier"), F.col("p.k").cast("string").alias("k"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("h"))
+    known = fixed.select(norm(F.col("name")).alias("_f"), F.struct(F.lit("").alias("k"), "x", "y").alias("p"))
+    moved = overrides.select(norm(F.col("name")).alias("_o"), F.upper("code").alias("_c")).join(by_code, "_c").select("_o", "p")
+    out = hit(known, "_n", "_f", 1).unionByName(hit(moved, "_n", "_o", 2))
+    code = F.when(F.trim("name").rlike("^[A-Z]{3}$"), F.trim("name"))
+    out = out.unionByName(rows.withColumn("_code", code).join(by_code, F.col("_code") == F.col("_c")).select("name", F.struct(F.lit(3).alias("tier"), F.col("p.k").cast("string").alias("k"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("h")))
+    out = out.unionByName(hit(by_name, "_n", "_k", 4)).unionByName(hit(by_name, "_b", "_k", 5))
+    long = rows.where(F.length("_b") >= 4)
+    words = by_name.select(F.explode(F.split("_k", " ")).alias("_w"), "p")
+    own = long.select("name", F.explode(F.split("_b", " ")).alias("_w")).join(by_name, F.col("_w") == F.col("_k"))
+    loose = long.join(words, F.col("_b") == F.col("_w")).select("name", "p").unionByName(own.select("name", "p"))
+    out = out.unionByName(loose.select("name", F.struct(F.lit(6).alias("tier"), F.col("p.k").cast("string").alias("k"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("h")))
+    best = out.groupBy("name").agg(F.min("h").alias("h")).select(F.col("name").alias("_name"), "h")
+    return rows.join(best, F.col("name") == F.col("_name"), "left").select("name", "h.x", "h.y", "h.tier")
+
+
+def road_stitches(primary: DataFrame, extra: DataFrame, reach: float = 5000.0) -> DataFrame:
+    """(id, line): from each extra line (id, line) the shortest straight way, at most ``reach`` long, from one of its ends to a primary line."""
+    ends = extra.select("id", F.explode(F.array(F.get("line", 0), F.element_at("line", -1))).alias("p")).select(F.struct("id", "p.x", "p.y").alias("id"), "p.x", "p.y").distinct()
+    parts = primary.select(F.col("id").alias("line"), F.posexplode(G.segments(F.col("line"))).alias("part", "s")).select("line", "part", *[F.col(f"s.{e}.{k}").alias(f"{k}{n}") for n, e in ((1, "a"), (2, "b")) for k in "xy"])
+    near = spatial.nearest_line(ends, parts, reach).join(parts, ["line", "part"])
+    along = lambda p, q: F.col(p) + F.col("t") * (F.col(q) - F.col(p))
+    best = near.groupBy(F.col("id.id").alias("id")).agg(F.min(F.struct("dist", F.col("id.x").alias("x"), F.col("id.y").alias("y"), along("x1", "x2").alias("px"), along("y1", "y2").alias("py"))).alias("b"))
+    return best.where("b.dist > 0").select("id", F.array(spatial.point(F.col("b.x"), F.col("b.y")), spatial.point(F.col("b.px"), F.col("b.py"))).alias("line"))

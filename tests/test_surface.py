@@ -171,3 +171,35 @@ def test_polygons_are_found_by_growing_reach(spark):
     points = spark.createDataFrame([(1, 5.0, 5.0), (2, 400.0, 5.0), (3, 99999.0, 5.0), (4, 990.0, 5.0)], "id long, x double, y double")
     got = {r.id: (r.poly, r.dist) for r in spatial.nearest_polygon(points, polygons, 5000.0, 16.0).collect()}
     assert got == {1: (1, 0.0), 2: (1, 390.0), 4: (2, 10.0)} and math.isclose(got[4][1], 10.0)
+
+
+def test_releases(spark, tmp_path):
+    from spanwise.plans import release
+
+    schema = [("record_id", "string"), ("name", "string"), ("latitude", "float"), ("longitude", "float")]
+    mapping = [{"source_column": a, "schema_column": b, "type": "", "keep": "yes", "fold_into": ""} for a, b in (("id", "record_id"), ("n", "name"), ("lat", "latitude"), ("lon", "longitude"))]
+    raw = lambda rows: spark.createDataFrame(rows, "id string, n string, lat string, lon string")
+    one, two = raw([("a", "x", "60", "-150"), ("b", "y", None, None)]), raw([("a", "z", "60", "-150"), ("c", "y", None, None)])
+    root = str(tmp_path)
+    first = release.ingest(one, root, "2022", mapping, schema)
+    assert (first["rows"], first["rows_with_coordinates"]) == (2, 1) and "diff_from" not in first
+    second = release.ingest(two, root, "2025", mapping, schema)
+    assert (second["diff_from"], second["removed"], second["added"], second["edited_beyond_jitter"]) == ("2022", 1, 1, 1)
+    assert release.previous_diff(spark, root, "2022") is None and release.previous_diff(spark, root, "2025").count() == 3
+    got = {(r.release, r.check): r.passed for r in release.checked(spark, root, mapping, schema, {"2022": one, "2025": one}).collect()}
+    assert got == {("2022", "digest of the manifest"): True, ("2022", "made anew from the raw table"): True, ("2025", "digest of the manifest"): True, ("2025", "made anew from the raw table"): False}
+
+
+def test_places_and_stitches(spark):
+    from spanwise.sources import readers
+
+    places = spark.createDataFrame([("OME", "Nome Airport", 1.0, 1.0), ("UNK", "Unalakleet Airport", 2.0, 2.0), ("KAL", "Kaltag Point Airport", 3.0, 3.0), ("ZZZ", "Nome International Airport", 9.0, 9.0)], "code string, name string, x double, y double")
+    fixed = spark.createDataFrame([("Lost  Camp", 7.0, 7.0)], "name string, x double, y double")
+    overrides = spark.createDataFrame([("The Beach", "ome")], "name string, code string")
+    names = spark.createDataFrame([("lost camp",), ("The Beach",), ("UNK",), ("nome",), ("Unalakleet Airstrip",), ("Kaltag",), ("Nowhere",), (None,)], "name string")
+    got = {r.name: (r.x, r.tier) for r in readers.matched_places(names, places, fixed, overrides).collect()}
+    assert got == {"lost camp": (7.0, 1), "The Beach": (1.0, 2), "UNK": (2.0, 3), "nome": (1.0, 4), "Unalakleet Airstrip": (2.0, 5), "Kaltag": (3.0, 6), "Nowhere": (None, None), None: (None, None)}
+    primary = spark.createDataFrame([(1, line((0, 0), (1000, 0)))], f"id long, line {LINE}")
+    extra = spark.createDataFrame([(2, line((500, 300), (500, 9000))), (3, line((0, 7000), (9, 9000)))], f"id long, line {LINE}")
+    got = {r.id: [(p.x, p.y) for p in r.line] for r in readers.road_stitches(primary, extra).collect()}
+    assert got == {2: [(500.0, 300.0), (500.0, 0.0)]}
