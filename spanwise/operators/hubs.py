@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions import geometry as G
 from spanwise.functions import scalars as S
-from spanwise.operators import graph, spatial
+from spanwise.operators import graph, spatial, surface
 from spanwise.operators.ranking import first_per, numbered
 from spanwise.sources.scratch import materialise
 
@@ -204,17 +204,19 @@ def natural_break(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def tagged(facilities: DataFrame, places: DataFrame, regions: DataFrame, side: float = 20000.0, reach: float = 1e6) -> DataFrame:
-    """``facilities`` (id, x, y, label) with place, region and how the label agrees with the place.
+    """``facilities`` (id, x, y, label) with place, region, label_region and how the label agrees with where they are.
 
     ``places`` and ``regions`` are (poly, name, rings). A facility's place is the one that holds it; its region likewise,
-    else the nearest in reach.
+    else the nearest in reach. A label that names a place belongs to that place's region: it agrees with its own place, is a
+    neighbor elsewhere in that region, and a conflict in another one or in none. Other labels can't be told (n/a).
     """
     held = spatial.first_polygon(facilities, places.select("poly", "rings"), side).join(places.select("poly", F.col("name").alias("place")), "poly", "left").select("id", "place")
     region = spatial.nearest_polygon(facilities, regions.select("poly", "rings"), reach, side).join(regions.select("poly", F.col("name").alias("region")), "poly").select("id", "region")
-    named = places.select(S.canon(F.col("name")).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    named = surface.place_regions(places.select("poly", S.canon(F.col("name")).alias("_key"), "rings").where("_key is not null"), regions, "_key", side).withColumnRenamed("region", "label_region")
     rows = facilities.join(held, "id", "left").join(region, "id", "left").withColumn("_key", S.canon(F.col("label"))).join(named, "_key", "left")
-    match = F.when(F.col("_key").isNull(), "n/a").when(F.col("place").isNull(), F.when(F.col("_known"), "neighbor").otherwise("n/a")).when(S.canon(F.col("place")) == F.col("_key"), "agree").otherwise("conflict")
-    return rows.withColumn("name_match", match).withColumn("geo_label", F.coalesce("place", "region")).drop("_key", "_known")
+    agrees = F.coalesce(S.canon(F.col("place")) == F.col("_key"), F.lit(False))
+    match = F.when(agrees, "agree").when(F.col("label_region").isNull(), "n/a").when(F.col("region").eqNullSafe(F.col("label_region")), "neighbor").otherwise("conflict")
+    return rows.withColumn("name_match", match).withColumn("geo_label", F.coalesce("place", "region")).drop("_key")
 
 
 def delivery_filled(rows: DataFrame, fallback: DataFrame, reach: float = 5000.0) -> DataFrame:

@@ -9,7 +9,7 @@ from spanwise.functions.albers import ALASKA
 from spanwise.operators import costs, graph, hubs, inventory, raster, spatial, surface
 from spanwise.plans import domain as D
 from spanwise.plans import more_queries  # noqa: F401
-from spanwise.plans.queries import _DIST, _PIP, ORACLE_SQL, QUERIES, _typed_edges, query, shapes
+from spanwise.plans.queries import _CC, _DIST, _PIP, ORACLE_SQL, QUERIES, _typed_edges, query, shapes
 
 # --- detectors and records -------------------------------------------------------------------------------------------
 
@@ -195,6 +195,34 @@ def sites_kept(spark: SparkSession, sf: str) -> DataFrame:
     return hubs.sited(hubs.withheld(c)[0], ["Barge", "Road", "Plane"]).select("id", "delivery_method", "site_id")
 
 
+@query(
+    f"""WITH {D.POINTS}, {_OWN}, p AS (SELECT id, min(poly) AS place FROM h GROUP BY id), r AS (SELECT id, poly AS region FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, poly) AS k FROM d WHERE d <= 50000) WHERE k = 1),
+  l AS (SELECT id, CASE id % 3 WHEN 0 THEN 'EAST' WHEN 1 THEN 'WEST' ELSE 'OTHER' END AS label FROM pt)
+  SELECT l.id, place, region, coalesce(place, region) AS geo_label, CASE WHEN label = 'OTHER' THEN 'n/a' WHEN upper(place) = label THEN 'agree' WHEN upper(region) = label THEN 'neighbor' ELSE 'conflict' END AS name_match
+  FROM l LEFT JOIN p ON p.id = l.id LEFT JOIN r ON r.id = l.id"""
+)
+def tagged_places(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("id") % 3
+    f = D.points(spark, sf).select("id", "x", "y", F.when(k == 0, "east").when(k == 1, "West.").otherwise("other").alias("label"))
+    named = shapes(spark).withColumn("name", F.col("poly"))
+    return hubs.tagged(f, named, named, 10000.0, 50000.0).select("id", "place", "region", "geo_label", "name_match")
+
+
+@query(
+    f"""WITH RECURSIVE {D.POINTS}, road AS (SELECT id AS a, id + 1 AS b FROM pt WHERE id % 4 <> 3 AND id + 1 IN (SELECT id FROM pt)),
+  small AS (SELECT a, b FROM road UNION ALL SELECT id, id + 4 FROM pt WHERE id % 20 IN (0, 4, 8, 12) AND id + 4 IN (SELECT id FROM pt)), {_CC},
+  one AS (SELECT component FROM lab GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+  chain AS (SELECT id, id - id % 4 AS component FROM pt), big AS (SELECT component FROM chain GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+  SELECT node FROM lab JOIN one USING (component) WHERE node NOT IN (SELECT id FROM chain JOIN big USING (component))"""
+)
+def mode_contribution(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.points(spark, sf).select("id")
+    road = p.where("id % 4 <> 3").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit("Road").alias("type"))
+    air = p.where("id % 20 in (0, 4, 8, 12)").select(F.col("id").alias("a"), (F.col("id") + 4).alias("b"), F.lit("Air").alias("type"))
+    e = road.unionByName(air).join(p.select(F.col("id").alias("b")), "b", "left_semi")
+    return graph.mode_contribution(p.select(F.col("id").alias("node")), e, "Air")
+
+
 @query(
     f"""WITH {D.POINTS}, h AS (SELECT * FROM pt WHERE id % 11 = 0), g AS (SELECT * FROM pt WHERE id % 11 <> 0 AND id % 2 = 1),
   d AS (SELECT a.id, min({_DIST}) AS g, min({_DIST}) FILTER (b.id % 5 = 0) AS w FROM h a, g b GROUP BY a.id)

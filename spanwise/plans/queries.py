@@ -738,7 +738,15 @@ def site_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return hubs.complete_linkage(D.points(spark, sf).select("id", "x", "y"), 2000.0)
 
 
-@query(None)
+@query(
+    f"""WITH {D.POINTS}, h AS (SELECT * FROM pt WHERE id % 9 = 0), n AS (SELECT *, id % 2 = 0 AS road FROM pt WHERE id % 9 <> 0),
+  d AS (SELECT a.id AS h, b.id AS node, b.road, {_DIST} AS d FROM h a, n b),
+  r AS (SELECT h, node, d FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY d, node) AS k FROM d WHERE road) WHERE k = 1),
+  o AS (SELECT h, node, d FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY d, node) AS k FROM d WHERE d <= 1500) WHERE k = 1),
+  f AS (SELECT h.id AS n, CASE WHEN r.d <= 1500 THEN r.node ELSE o.node END AS node_id, CASE WHEN r.d <= 1500 THEN r.d ELSE coalesce(o.d, r.d) END AS d FROM h LEFT JOIN r ON r.h = h.id LEFT JOIN o ON o.h = h.id)
+  SELECT 'Hub_' || CAST(n AS VARCHAR) AS hub_id, node_id, round(d, 3) AS snap_dist_m,
+         CASE WHEN node_id IS NULL THEN 'unplaced:beyond_cap' WHEN n = min(n) OVER (PARTITION BY node_id) THEN 'placed' ELSE 'merged:Hub_' || CAST(min(n) OVER (PARTITION BY node_id) AS VARCHAR) END AS status FROM f"""
+)
 def hub_snapping(spark: SparkSession, sf: str) -> DataFrame:
     p = D.points(spark, sf)
     h = p.where("id % 9 = 0").select(F.concat(F.lit("Hub_"), F.col("id").cast("string")).alias("hub_id"), F.col("id").alias("n"), "x", "y", F.lit("Barge or Road").alias("delivery_method"))
