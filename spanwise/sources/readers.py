@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,13 +151,13 @@ def manual_connections(df: DataFrame, modes: tuple[str, ...] = ("road", "ice_roa
 
 
 def normalised(spark: SparkSession, spec: list[dict]) -> dict[str, DataFrame | None]:
-    """Tables of a declarative spec: name, path, format, filter, rename, keep. A missing optional source is None."""
+    """Tables of a declarative spec: name, path, format, filter, rename, keep. An optional source without a file is None; any other failure is an error."""
     out: dict[str, DataFrame | None] = {}
     for e in spec:
         try:
             df = text_table(spark, e["path"]) if e.get("format", "csv") == "csv" else spark.read.format(e["format"]).load(e["path"])
-        except Exception:
-            if not e.get("optional"):
+        except AnalysisException as x:
+            if not e.get("optional") or x.getCondition() != "PATH_NOT_FOUND":
                 raise
             out[e["name"]] = None
             continue

@@ -73,12 +73,14 @@ def features(df: DataFrame, lon: str, lat: str, properties: list[str]) -> DataFr
 
 
 def report(title: str, tables: dict[str, DataFrame], old: str = "", mark: str = "<!-- feedback -->", rows: int = 100) -> str:
-    """A Markdown report of small tables; what ``old`` has between two marks is kept."""
+    """A Markdown report of small tables; what ``old`` has between two marks is kept. Of a longer table the first ``rows`` rows stand there, and a line says so."""
     kept = old.split(mark)[1] if old.count(mark) >= 2 else "\n"
     out = [f"# {title}"]
     for name, df in tables.items():
         out += [f"\n## {name}\n", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
+        some = df.limit(rows + 1).collect()
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in some[:rows]]
+        out += [f"\nThe first {rows} rows."] if len(some) > rows else []
     return "\n".join([*out, "", f"{mark}{kept}{mark}", ""])
 
 

@@ -203,3 +203,20 @@ def test_places_and_stitches(spark):
     extra = spark.createDataFrame([(2, line((500, 300), (500, 9000))), (3, line((0, 7000), (9, 9000)))], f"id long, line {LINE}")
     got = {r.id: [(p.x, p.y) for p in r.line] for r in readers.road_stitches(primary, extra).collect()}
     assert got == {2: [(500.0, 300.0), (500.0, 0.0)]}
+
+
+def test_optional_sources_and_long_reports(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from spanwise.sources import readers, writers
+
+    (tmp_path / "a.csv").write_text("k,n\n1,x\n2,y\n")
+    spec = [{"name": "a", "path": str(tmp_path / "a.csv"), "filter": "k = '1'", "rename": {"n": "m"}, "keep": ["m"]}, {"name": "b", "path": str(tmp_path / "no.csv"), "optional": True}]
+    got = readers.normalised(spark, spec)
+    assert [r.m for r in got["a"].collect()] == ["x"] and got["b"] is None
+    with pytest.raises(AnalysisException):
+        readers.normalised(spark, [{"name": "b", "path": str(tmp_path / "no.csv")}])
+    with pytest.raises(AnalysisException):
+        readers.normalised(spark, [{"name": "a", "path": str(tmp_path / "a.csv"), "filter": "zz = 1", "optional": True}])
+    text = writers.report("R", {"t": spark.range(5)}, rows=3)
+    assert "The first 3 rows." in text and "| 3 |" not in text
