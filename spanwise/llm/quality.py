@@ -2,9 +2,10 @@
 
 Everything is a DataFrame expression. A document's rule failures are counted from its whole text; hosts
 (the ``source`` column, null counted as a host of its own) get a failure rate, shrunk towards the rate of all
-hosts by a beta prior whose two parameters are fitted to the hosts by the method of moments; a host whose
-shrunk rate passes ``HOST_RATE`` is rejected, and with it those of its documents that fail at least one
-rule. A document that fails no rule stays, wherever it comes from.
+hosts by a beta prior whose two parameters are fitted to the hosts by the method of moments; a host is rejected if its
+shrunk rate is more than ``HOST_DEVIATIONS`` standard deviations of that prior above its mean, or above ``HOST_RATE``, and
+with it those of its documents that fail at least one rule: a document that fails only a soft rule has the benefit of the
+doubt on other hosts. A document that fails no rule stays, wherever it comes from.
 
 Defined cases: a null or empty text has no words and fails (fewer than ``MIN_WORDS``); repeated rows and null
 ids are judged row by row; an empty table gives an empty result; other columns are ignored.
@@ -23,6 +24,9 @@ MAX_SYMBOLS_PER_WORD = 1
 WORD_LENGTH = (2, 15)
 MAX_DUP_LINE_PERCENT = 50
 HOST_RATE = 0.5
+HOST_DEVIATIONS = 1.0
+#: Rates nearer than this to a bound aren't above it.
+TINY = 1e-9
 
 
 def repeat_words(w: Column) -> Column:
@@ -117,7 +121,8 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
     else:
         weight = min(1e6, max(1.0, m * (1 - m) / v - 1)) if v else 1e6
         a, b = m * weight, (1 - m) * weight
-    return hosts.select("source", ((F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b)) > HOST_RATE).alias("rejected"))
+    bound = min(HOST_RATE, m + HOST_DEVIATIONS * v**0.5 + TINY) if m is not None else HOST_RATE
+    return hosts.select("source", ((F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b)) > bound).alias("rejected"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -132,14 +137,14 @@ def judged(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they are.
 
-    The counts are made twice, once for the hosts and once for the filter: the texts aren't shuffled or stored.
+    The counts are made once: rows are written with their verdicts, which the hosts' rates are then taken from.
     """
-    columns, q, host, bad = docs.columns, unused(docs, "_q"), unused(docs, "_host"), unused(docs, "_rejected")
-    failures = with_counts(docs.select("text", "source")).select("source", F.col("_q.any_failed").alias("any_failed"))
-    verdicts = host_verdicts(failures).where("rejected").select(F.col("source").alias(host), F.col("rejected").alias(bad))
-    rows = with_counts(docs, q).where(~F.col(f"{q}.base_failed"))
-    joined = rows.join(verdicts, F.col("source").eqNullSafe(F.col(host)), "left")
-    return joined.where(~(F.coalesce(F.col(bad), F.lit(False)) & F.col(f"{q}.any_failed"))).select(*[f"`{c}`" for c in columns])
+    columns, q, host, bad = [f"`{c}`" for c in docs.columns], unused(docs, "_q"), unused(docs, "_host"), unused(docs, "_rejected")
+    flags = [F.col(f"{q}.base_failed").alias(f"{q}_base"), F.col(f"{q}.any_failed").alias(f"{q}_any")]
+    rows = materialise(with_counts(docs, q).select(*columns, *flags))
+    verdicts = host_verdicts(rows.select("source", F.col(f"{q}_any").alias("any_failed"))).where("rejected").select(F.col("source").alias(host), F.col("rejected").alias(bad))
+    joined = rows.where(~F.col(f"{q}_base")).join(verdicts, F.col("source").eqNullSafe(F.col(host)), "left")
+    return joined.where(~(F.coalesce(F.col(bad), F.lit(False)) & F.col(f"{q}_any"))).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +179,8 @@ ruled AS (
 host AS (SELECT source, count(*) AS n, sum(CAST(any_failed AS BIGINT)) AS failed FROM ruled GROUP BY source),
 moment AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM host),
 prior AS (
-  SELECT m, CASE WHEN v = 0 THEN 1e6 ELSE least(1e6, greatest(1.0, m * (1 - m) / v - 1)) END AS k FROM moment),
-verdict AS (SELECT source, (failed + m * k) / (n + k) > 0.5 AS rejected FROM host, prior)
+  SELECT m, v, CASE WHEN v = 0 THEN 1e6 ELSE least(1e6, greatest(1.0, m * (1 - m) / v - 1)) END AS k FROM moment),
+verdict AS (SELECT source, (failed + m * k) / (n + k) > least(0.5, m + sqrt(v) + 1e-9) AS rejected FROM host, prior)
 """
 
 ORACLE = f"""WITH {COUNTS_SQL}
