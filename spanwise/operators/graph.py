@@ -350,6 +350,26 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("share", F.col("largest") / F.col("nodes")).withColumn("edges", F.lit(edges.count()))
 
 
+def component_report(nodes: DataFrame, edges: DataFrame, hubs: DataFrame, start: float = 1000.0) -> DataFrame:
+    """(component, size, edges, modes, hubs, giant_m): per component of nodes (node, x, y) and edges (a, b, type) what it holds,
+    how many hubs (node) stand on it, and how far its nearest node is from the largest component (0 for that one)."""
+    at = materialise(ranked_components(nodes.select("node"), edges.select("a", "b")).join(nodes.select("node", "x", "y"), "node"))
+    label = at.select(F.col("node").alias("a"), "component")
+    inside = edges.join(label, "a").groupBy("component").agg(F.count("*").alias("edges"), F.array_join(F.array_sort(F.collect_set("type")), ";").alias("modes"))
+    held = hubs.select("node").join(at.select("node", "component"), "node").groupBy("component").agg(F.count("*").alias("hubs"))
+    point = lambda df: df.select(F.col("node").alias("id"), "x", "y")
+    near = spatial.nearest(point(at.where("not is_giant")), point(at.where("is_giant")), start).join(at.select(F.col("node").alias("left_id"), "component"), "left_id").groupBy("component").agg(F.min("dist").alias("giant_m"))
+    sizes = at.groupBy("component").agg(F.first("size").alias("size"), F.first("is_giant").alias("_giant"))
+    out = sizes.join(inside, "component", "left").join(held, "component", "left").join(near, "component", "left")
+    return out.select("component", "size", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("modes", F.lit("")).alias("modes"), F.coalesce("hubs", F.lit(0)).alias("hubs"), F.when(F.col("_giant"), 0.0).otherwise(F.col("giant_m")).alias("giant_m"))
+
+
+def counts_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, value, n): nodes in and off the largest component, and edges by type."""
+    a = nodes.groupBy(F.col("is_giant").cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit("is_giant").alias("what"), "value", "n")
+    return a.unionByName(edges.groupBy(F.col("type").alias("value")).agg(F.count("*").alias("n")).select(F.lit("type").alias("what"), "value", "n"))
+
+
 def unweighted(edges: DataFrame, weights: DataFrame, months: int = 12) -> DataFrame:
     """(edge_id, months, stray): edges without a weight for each month, and weights without an edge."""
     n = weights.groupBy("edge_id").agg(F.countDistinct("month").alias("months"))

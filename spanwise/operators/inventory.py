@@ -399,9 +399,10 @@ def minted_ids(df: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def boundary_check(points: DataFrame, polygons: DataFrame, near: float = 2000.0, adjacent: float = 20000.0, side: float = 20000.0) -> DataFrame:
-    """(id, outcome, relation, own_km, inside_of) of points (id, x, y, community_id, key) against (poly, guid, key, rings).
+    """(id, outcome, relation, own_km, inside_of, priority, note) of points (id, x, y, community_id, key) against (poly, guid, key, rings).
 
-    A point's own polygons are those of its community id if any has it, else of its key.
+    A point's own polygons are those of its community id if any has it, else of its key. Only a point inside another
+    community's polygon and farther than ``adjacent`` from its own is for review; the note says why others aren't tested.
     """
     hit = spatial.in_polygons(points, polygons.select("poly", "rings"), side).join(polygons.select("poly", F.col("key").alias("pk")), "poly").groupBy("id").agg(F.array_sort(F.collect_set("pk")).alias("inside_of"))
     guid = points.join(polygons.select("guid", "rings"), F.col("community_id") == F.col("guid")).select("id", "x", "y", "rings")
@@ -411,7 +412,10 @@ def boundary_check(points: DataFrame, polygons: DataFrame, near: float = 2000.0,
     inside = F.col("inside_of").isNotNull()
     outcome = F.when(F.col("d").isNull(), "untested").when(F.col("d") <= near, "match").when(inside, "mismatch").otherwise("outside")
     relation = F.when(F.col("d").isNull(), "untested").when(F.col("d") <= near, "inside").when(~inside, "remote").when(F.col("d") <= adjacent, "adjacent").otherwise("elsewhere")
-    return rows.select("id", outcome.alias("outcome"), relation.alias("relation"), (F.col("d") / 1000).alias("own_km"), F.array_join("inside_of", ";").alias("inside_of"))
+    rows = rows.join(points.select("id", F.col("key").isNull().alias("_bare")), "id")
+    priority = F.when((outcome == "mismatch") & (F.col("d") > adjacent), "review").when(outcome.isin("mismatch", "outside"), "info")
+    note = F.when((outcome == "untested") & F.col("_bare"), "no label").when(outcome == "untested", "no boundary for this community").when(outcome == "outside", "remote site").when((outcome == "mismatch") & (F.col("d") <= adjacent), "a neighbouring place")
+    return rows.select("id", outcome.alias("outcome"), relation.alias("relation"), (F.col("d") / 1000).alias("own_km"), F.array_join("inside_of", ";").alias("inside_of"), priority.alias("priority"), note.alias("note"))
 
 
 def region_of(points: DataFrame, polygons: DataFrame, cap: float = 25000.0) -> DataFrame:

@@ -164,6 +164,29 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return n.join(n.groupBy("old").agg(F.sum("n").alias("_t")), "old").select("old", "new", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
+def recall(pairs: DataFrame) -> DataFrame:
+    """(old, n, recall): per class how many cells it had and the share that kept it."""
+    return pairs.groupBy("old").agg(F.count("*").alias("n"), F.avg(F.when(F.col("old") == F.col("new"), 1.0).otherwise(0.0)).alias("recall"))
+
+
+def disagreements(pairs: DataFrame, n: int) -> DataFrame:
+    """(old, new, n): the ``n`` changes of class that most cells have."""
+    return pairs.where("old <> new").groupBy("old", "new").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "old", "new").limit(n)
+
+
+def mode_composite(images: DataFrame) -> DataFrame:
+    """(row, col, value): per cell the class that most images (row, col, value) have, ties to the smaller one."""
+    n = images.where("value is not null").groupBy("row", "col", "value").agg(F.count("*").alias("n"))
+    return n.groupBy("row", "col").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
+
+
+def flips(a: DataFrame, b: DataFrame, limit: float = ICE) -> DataFrame:
+    """(month, flips, values_a, values_b): cells of both stacks that are over the limit in one alone, and how many different values each has."""
+    key = ["row", "col", "month"]
+    j = a.select(*key, F.col("value").alias("va")).join(b.select(*key, F.col("value").alias("vb")), key, "full_outer")
+    return j.groupBy("month").agg(F.count_if((F.col("va") > limit) != (F.col("vb") > limit)).alias("flips"), F.countDistinct("va").alias("values_a"), F.countDistinct("vb").alias("values_b"))
+
+
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:
     """(month, lost, gained, differ, same) of two stacks (row, col, month, value)."""
     key = ["row", "col", "month"]

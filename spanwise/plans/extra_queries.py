@@ -84,7 +84,9 @@ _OWN = f"""{_PIP},
 @query(
     f"""WITH {D.POINTS}, {_OWN}
   SELECT pt.id, CASE WHEN d IS NULL THEN 'untested' WHEN d <= 2000 THEN 'match' WHEN inside_of IS NOT NULL THEN 'mismatch' ELSE 'outside' END AS outcome,
-         CASE WHEN d IS NULL THEN 'untested' WHEN d <= 2000 THEN 'inside' WHEN inside_of IS NULL THEN 'remote' WHEN d <= 20000 THEN 'adjacent' ELSE 'elsewhere' END AS relation, round(d / 1000, 6) AS own_km, inside_of
+         CASE WHEN d IS NULL THEN 'untested' WHEN d <= 2000 THEN 'inside' WHEN inside_of IS NULL THEN 'remote' WHEN d <= 20000 THEN 'adjacent' ELSE 'elsewhere' END AS relation, round(d / 1000, 6) AS own_km, inside_of,
+         CASE WHEN d > 20000 AND inside_of IS NOT NULL THEN 'review' WHEN d > 2000 THEN 'info' END AS priority,
+         CASE WHEN d IS NULL THEN 'no boundary for this community' WHEN d > 2000 AND inside_of IS NULL THEN 'remote site' WHEN d > 2000 AND d <= 20000 THEN 'a neighbouring place' END AS note
   FROM pt LEFT JOIN own ON own.id = pt.id LEFT JOIN i ON i.id = pt.id"""
 )
 def boundary_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,6 +266,24 @@ def _layer(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return m.select("month", "row", "col", (F.col("slope") + F.col("month")).alias("value")), c.select("row", "col", (F.col("lulc") % 4).alias("zone"))
 
 
+@query("WITH p AS (SELECT p_partkey % 9 AS old, p_size % 9 AS new FROM part) SELECT old, count(*) AS n, round(count(*) FILTER (old = new) / count(*), 6) AS recall FROM p GROUP BY old")
+def class_recall(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.table(spark, sf, "part").select((F.col("p_partkey") % 9).alias("old"), (F.col("p_size") % 9).cast("long").alias("new"))
+    return raster.recall(p).withColumn("recall", F.round("recall", 6))
+
+
+@query("WITH p AS (SELECT p_partkey % 9 AS old, CAST(p_size % 9 AS BIGINT) AS new FROM part) SELECT old, new, count(*) AS n FROM p WHERE old <> new GROUP BY 1, 2 ORDER BY n DESC, old, new LIMIT 8")
+def top_disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.table(spark, sf, "part").select((F.col("p_partkey") % 9).alias("old"), (F.col("p_size") % 9).cast("long").alias("new"))
+    return raster.disagreements(p, 8)
+
+
+@query(f"WITH {D.CELLS}, m AS (SELECT row, col, CAST((row + col * y + lulc) % 3 AS INTEGER) AS value FROM cell, generate_series(1, 7) AS g(y)), n AS (SELECT row, col, value, count(*) AS n FROM m GROUP BY ALL) SELECT row, col, value FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, value) AS k FROM n) WHERE k = 1")
+def mode_composite(spark: SparkSession, sf: str) -> DataFrame:
+    c = D.cells(spark, sf).withColumn("y", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return raster.mode_composite(c.select("row", "col", ((F.col("row") + F.col("col") * F.col("y") + F.col("lulc")) % 3).cast("int").alias("value")))
+
+
 @query(f"WITH {D.CELLS}, {_LAYER}, z AS (SELECT lulc % 4 AS region, count(*) AS n FROM cell GROUP BY 1) SELECT CAST(region AS INTEGER) AS region, month, round(k / n, 6) AS share FROM z JOIN (SELECT zone, month, count(*) AS k FROM v GROUP BY 1, 2) ON zone = region")
 def open_share(spark: SparkSession, sf: str) -> DataFrame:
     cells, zones = _layer(spark, sf)

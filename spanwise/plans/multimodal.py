@@ -35,6 +35,11 @@ def weights_and_costs(edges: DataFrame, stats: DataFrame) -> tuple[DataFrame, Da
     return weights, costs.edge_costs(weights, edges)
 
 
+def month_view(edges: DataFrame, edge_costs: DataFrame, month: int) -> DataFrame:
+    """The edges that are passable in a month, with their cost; parallel ones all stay."""
+    return edges.join(edge_costs.where((F.col("month") == month) & F.col("passable")).select("edge_id", "cost_per_gallon"), "edge_id")
+
+
 def month_pairs(edges: DataFrame, edge_costs: DataFrame, month: int) -> DataFrame:
     """(u, v, cost): the cheapest passable edge of each pair of nodes in a month."""
     rows = edge_costs.where(F.col("month") == month).join(edges.select("edge_id", F.col("from_node").alias("a"), F.col("to_node").alias("b")), "edge_id")

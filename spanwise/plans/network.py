@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,43 @@ class Profile:
     snap_cap: float = 25000.0
 
 
+def profile_of(table: dict, anchors: dict[str, DataFrame]) -> Profile:
+    """A profile from plain data; transfers name their anchors. A key that no profile has is an error."""
+    known = {f.name for f in fields(Profile)}
+    stray = sorted(set(table) - known)
+    if stray:
+        raise ValueError(f"a profile has no {', '.join(stray)}")
+    out = dict(table)
+    transfers = []
+    for t in out.get("transfers", ()):
+        if t["anchors"] not in anchors:
+            raise ValueError(f"no anchors {t['anchors']}")
+        transfers.append(Transfer(anchors[t["anchors"]], t["from_type"], t["to_type"], float(t["reach"])))
+    out["transfers"] = tuple(transfers)
+    out["bridges"] = tuple((a, b, float(d)) for a, b, d in out.get("bridges", ()))
+    if "snap_types" in out:
+        out["snap_types"] = tuple(out["snap_types"])
+    return Profile(**out)
+
+
+def validated(profile: Profile, lines: DataFrame) -> list[str]:
+    """What speaks against building ``lines`` with a profile: missing columns, types that no line has, tolerances that can't be, places that aren't metres."""
+    missing = sorted({"line_id", "type", "line"} - set(lines.columns))
+    if missing:
+        return [f"lines lack {', '.join(missing)}"]
+    have = {r.type for r in lines.select("type").distinct().collect()}
+    named = {t for x in profile.transfers for t in (x.from_type, x.to_type)} | set(profile.welds) | {t for a, b, _ in profile.bridges for t in (a, b)} | set(profile.snap_types)
+    out = [f"no line of type {t}" for t in sorted(named - have)]
+    numbers = {"node_tol": profile.node_tol, "water_tol": profile.water_tol, **{f"weld {k}": v for k, v in profile.welds.items()}, **{f"bridge {a} {b}": d for a, b, d in profile.bridges}, **{f"transfer {k}": t.reach for k, t in enumerate(profile.transfers)}}
+    out += [f"{k} is {v:g}" for k, v in numbers.items() if not v > 0]
+    out += [f"{k} is {v:g}" for k, v in (("join_reach", profile.join_reach), ("snap_cap", profile.snap_cap)) if v < 0]
+    vertex = lines.select(F.explode("line").alias("p"))
+    far = vertex.agg(F.max(F.greatest(F.abs("p.x"), F.abs("p.y")))).first()[0]
+    if far is not None and far <= 360:
+        out.append("places look like degrees, not metres")
+    return out
+
+
 def _laid(lines: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): land lines between their ends, waterways between all their vertices; one node per rounded place."""
     water = lines.where(F.col("type") == profile.water_type)
@@ -117,6 +154,25 @@ def with_hubs(nodes: DataFrame, edges: DataFrame, hub_rows: DataFrame, profile:
     return out, snaps
 
 
+def hub_reach(nodes: DataFrame) -> DataFrame:
+    """(hubs, in_giant): how many of the hubs that stand on nodes reach the largest component."""
+    return nodes.where("is_hub").agg(F.count("*").alias("hubs"), F.count_if("is_giant").alias("in_giant"))
+
+
+def gates(nodes: DataFrame, edges: DataFrame, least: dict[str, int], share: float, hubs: list[str]) -> DataFrame:
+    """(check, passed, detail): a built network has at least so many edges per type, that share of nodes in one component, no loose edge, and these hubs on it."""
+    n = {r.type: r["count"] for r in edges.groupBy("type").count().collect()}
+    rows = [(f"at least {k} of {t}", n.get(t, 0) >= k, str(n.get(t, 0))) for t, k in least.items()]
+    total, giant = nodes.agg(F.count("*"), F.count_if("is_giant")).first()
+    rows.append((f"at least {share:g} of nodes in one component", total > 0 and giant >= share * total, f"{giant} of {total}"))
+    loose = edges.select(F.explode(F.array("from_node", "to_node")).alias("node_id")).join(nodes, "node_id", "left_anti").count()
+    rows.append(("every edge has its nodes", loose == 0, f"{loose} ends without a node"))
+    # Merged hubs share a node, their names joined by plus signs.
+    on = {r.h for r in nodes.where("is_hub and is_giant").select(F.explode(F.split("hub_id", r"\+")).alias("h")).where(F.col("h").isin(*hubs)).distinct().collect()} if hubs else set()
+    rows += [(f"{h} is on the largest component", h in on, "") for h in hubs]
+    return nodes.sparkSession.createDataFrame(rows, "check string, passed boolean, detail string")
+
+
 def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(type, nodes, in_giant): how many nodes each type touches, and how many of these are in the giant."""
     ends = edges.select(F.explode(F.array("from_node", "to_node")).alias("node_id"), "type").distinct().join(nodes, "node_id")

@@ -220,3 +220,39 @@ def test_optional_sources_and_long_reports(spark, tmp_path):
         readers.normalised(spark, [{"name": "a", "path": str(tmp_path / "a.csv"), "filter": "zz = 1", "optional": True}])
     text = writers.report("R", {"t": spark.range(5)}, rows=3)
     assert "The first 3 rows." in text and "| 3 |" not in text
+
+
+def test_profiles_and_gates(spark):
+    from spanwise.plans import network
+
+    anchors = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
+    table = {"node_tol": 1.0, "transfers": [{"anchors": "ports", "from_type": "Waterway", "to_type": "Road", "reach": 500}], "bridges": [["IceRoad", "Road", 100]], "welds": {"Road": 150.0}, "snap_types": ["Road"]}
+    p = network.profile_of(table, {"ports": anchors})
+    assert p.transfers[0].reach == 500.0 and p.bridges == (("IceRoad", "Road", 100.0),) and p.snap_types == ("Road",)
+    with pytest.raises(ValueError, match="a profile has no speed"):
+        network.profile_of({"speed": 1}, {})
+    with pytest.raises(ValueError, match="no anchors ports"):
+        network.profile_of(table, {})
+    lines = spark.createDataFrame([(0, "Road", line((0, 0), (100, 50)))], f"line_id long, type string, line {LINE}")
+    assert network.validated(p, lines) == ["no line of type IceRoad", "no line of type Waterway", "places look like degrees, not metres"]
+    assert network.validated(network.Profile(node_tol=0.0, snap_types=("Road",)), lines.withColumn("line", F.transform("line", lambda q: F.struct((q["x"] * 100).alias("x"), q["y"].alias("y"))))) == ["node_tol is 0"]
+    assert network.validated(p, lines.drop("line")) == ["lines lack line"]
+    nodes = spark.createDataFrame([(1, True, True, "Hub_1+Hub_2"), (2, True, False, None), (3, False, True, "Hub_3")], "node_id long, is_giant boolean, is_hub boolean, hub_id string")
+    edges = spark.createDataFrame([(1, 2, "Road"), (2, 9, "Air")], "from_node long, to_node long, type string")
+    got = {r.check: r.passed for r in network.gates(nodes, edges, {"Road": 1, "Air": 2}, 0.6, ["Hub_2", "Hub_3"]).collect()}
+    assert got == {"at least 1 of Road": True, "at least 2 of Air": False, "at least 0.6 of nodes in one component": True, "every edge has its nodes": False, "Hub_2 is on the largest component": True, "Hub_3 is on the largest component": False}
+    assert tuple(network.hub_reach(nodes).first()) == (2, 1)
+    assert {tuple(r) for r in graph.counts_by(nodes, edges).collect()} == {("is_giant", "true", 2), ("is_giant", "false", 1), ("type", "Road", 1), ("type", "Air", 1)}
+
+
+def test_component_report_and_flips(spark):
+    from spanwise.operators import raster
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, 20.0, 0.0), (4, 500.0, 0.0), (5, 620.0, 0.0)], "node long, x double, y double")
+    edges = spark.createDataFrame([(1, 2, "Road"), (2, 3, "Air"), (4, 5, "Road")], "a long, b long, type string")
+    hubs_on = spark.createDataFrame([(4,), (1,), (2,)], "node long")
+    got = {r.component: (r.size, r.edges, r.modes, r.hubs, r.giant_m) for r in graph.component_report(nodes, edges, hubs_on).collect()}
+    assert got == {1: (3, 2, "Air;Road", 2, 0.0), 2: (2, 1, "Road", 1, 480.0)}
+    a = spark.createDataFrame([(0, 0, 1, 0.1), (0, 1, 1, 0.9)], "row long, col long, month int, value double")
+    b = spark.createDataFrame([(0, 0, 1, 0.5), (0, 1, 1, 0.5), (0, 2, 1, 0.5)], "row long, col long, month int, value double")
+    assert tuple(raster.flips(a, b).first()) == (1, 1, 2, 1)
