@@ -1,16 +1,20 @@
 """Operator 2: personal data by fixed patterns and a skip-chain conditional random field.
 
-Base spans come from the four patterns of the contract and always stay. The field adds spans: its nodes are the
-white-space tokens that hold a digit or an at sign (all others are clamped to "other"); neighbours in the text share
-a chain potential, and consecutive occurrences of the same or a similar token (equal digits, or equal name before
-the at sign), however far apart, share a skip potential. Tokens inside base spans are clamped to their kind, and
-loopy sum-product messages carry that to the others until each document's labels agree.
-
-The weights are trained on ``SAMPLE`` documents chosen by hash, with the base spans as labels, by pseudo-likelihood:
-each node given the labels of its neighbours. Features are shapes, never the outcome of a pattern.
+Base spans come from the four patterns of the contract and always stay. The field adds spans, also of a fifth kind, secrets
+such as keys and access tokens: its nodes are the white-space tokens that hold a digit or an at sign (all others are clamped
+to "other"); neighbours in the text share a chain potential, and consecutive occurrences of the same or a similar token
+(equal digits, or equal name before the at sign), however far apart, share a skip potential. Tokens inside base
+spans are clamped to their kind, and loopy sum-product messages carry that to the others until each document's labels agree.
+
+The weights are trained on ``SAMPLE`` documents, and at most ``EXAMPLES`` different nodes of them, both chosen by hash, by
+pseudo-likelihood: each node given the labels of its neighbours. Labels are the base spans, and for secrets what stands behind
+a word like "token" and an equals sign. Features are shapes, neighbouring words and check digits, never the outcome of a pattern. So that the field can find what
+no pattern does, a node without a label that resembles a labelled one of its document is no example of "other", and labelled
+nodes that have a similar one stand in the examples a second time without their features: there the links alone must tell.
 
 Defined cases: a null or empty text has no spans; repeated rows are searched row by row; null ids are kept; without
-documents to train on only base spans are found; other columns are ignored.
+documents to train on only base spans are found; messages that don't settle in ``ROUNDS`` rounds are used as they are then, which the
+column ``settled`` tells; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +32,20 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-OTHER = len(KINDS)
+#: Kinds of labels: those of the contract, secrets, and nothing of the kind.
+LABELS = (*KINDS, "secret")
+SECRET, OTHER = len(KINDS), len(KINDS) + 1
 SAMPLE = 4_000
+EXAMPLES = 100_000
 HASHED = 1 << 12
-ROUNDS = 8
+#: The feature of a node whose features are withheld; it has no weight.
+NONE = HASHED
+FEATURES = 11
+ROUNDS = 200
+#: Of the difference to the last message so much is taken, so that loops settle.
+STEP = 0.7
 #: A node gets the label of a kind only if its belief is at least this.
-BELIEF = 0.9
+BELIEF = 0.7
 
 # The patterns of the contract. Possessive repeats and the look-behind only save work: a number that fails
 # from its first digit fails from the others too.
@@ -45,6 +57,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN_END = re.compile(r"[\x20\x09-\x0D]|\Z")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+#: What labels a secret in training: a name, an equals sign or colon, and a run of key characters.
+_SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)\w*[\x20\t]*[=:][\x20\t]*[\"']?([A-Za-z0-9_+/=-]{16,})")
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -106,6 +121,20 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def seeds(text: str) -> list[tuple[int, int, int]]:
+    """Spans that label secrets in training."""
+    found = (m.span(1) for m in _SECRET.finditer(text))
+    return [(SECRET, s, e) for s, e in found if any(c.isdigit() for c in text[s:e]) and any(c.isalpha() for c in text[s:e])]
+
+
+def key_like(token: str) -> str:
+    """The length (in eights) of the run of key characters that makes most of a token with digits and letters; empty for others."""
+    m = _KEY.search(token)
+    if not m or 2 * (m.end() - m.start()) < len(token) or not any(c.isdigit() for c in m.group()) or not any(c.isalpha() for c in m.group()):
+        return ""
+    return str(min((m.end() - m.start()) // 8, 16))
+
+
 def similar(token: str) -> str:
     """The key of tokens that share a skip potential; empty for those too short to mean anything."""
     if "@" in token:
@@ -116,7 +145,7 @@ def similar(token: str) -> str:
 
 def shape(token: str) -> str:
     """Runs of digits as 9 and their length, letters as a, other characters as they are."""
-    out = re.sub(r"[0-9]+", lambda m: "9" + "abcdefghijklmnopqrstuvwxyz"[min(len(m.group()), 25)], token[:64])
+    out = re.sub(r"[0-9]+", lambda m: "9" + "abcdefghijklmnopqrstuvwxyz"[min(len(m.group()), 25)], token)
     return re.sub(r"[^\W\d_]+", lambda m: "a" if not m.group().startswith("9") else m.group(), re.sub(r"9([a-z])", r"9\1", out))
 
 
@@ -139,18 +168,23 @@ class Graph:
         self.chain = [(k, k + 1) for k in range(n - 1) if near[k]]
         last: dict[str, int] = {}
         self.skip = []
-        for k, w in enumerate(words):
-            if key := similar(w):
-                if key in last and (last[key], k) not in self.chain[-1:]:
+        self.keys = [similar(w) for w in words]
+        for k, key in enumerate(self.keys):
+            if key:
+                if key in last and not (near[k - 1] and last[key] == k - 1):
                     self.skip.append((last[key], k))
                 last[key] = k
         shapes = [shape(w) for w in words]
         self.features = []
         for k in range(n):
-            before = shapes[k - 1] if k and near[k - 1] else text[max(0, self.spans[k][0] - 24) : self.spans[k][0]].split(" ")[-2:-1]
+            context = text[max(0, self.spans[k][0] - 24) : self.spans[k][0]].split()
+            before = shapes[k - 1] if k and near[k - 1] else " ".join(context[-1:])
             after = shapes[k + 1] if near[k] else "."
             digits = len(_NOT_DIGIT.sub("", words[k]))
-            named = (f"s:{shapes[k]}", f"d:{min(digits, 20)}", f"@:{'@' in words[k]}", f".:{min(words[k].count('.'), 4)}", f"+:{words[k][:1] == '+'}", f"b:{before}", f"a:{after}", "1")
+            named = (
+                f"s:{shapes[k]}", f"d:{min(digits, 20)}", f"@:{'@' in words[k]}", f".:{min(words[k].count('.'), 4)}", f"+:{words[k][:1] == '+'}", f"b:{before}", f"a:{after}",
+                f"c:{' '.join(context[-2:]).lower()}", f"k:{key_like(words[k])}", f"l:{13 <= digits <= 19 and luhn(_NOT_DIGIT.sub('', words[k]))}", "1",
+            )
             self.features.append([zlib.crc32(x.encode("utf-8", "replace")) % HASHED for x in named])
 
 
@@ -160,35 +194,35 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def beliefs(self, g: Graph) -> np.ndarray:
-        """Marginals by loopy sum-product; clamped nodes are certain."""
+    def beliefs(self, g: Graph) -> tuple[np.ndarray, bool]:
+        """Marginals by loopy sum-product, and whether the messages settled; clamped nodes are certain."""
         n, k = len(g.spans), OTHER + 1
-        local = np.array([self.unary[f].sum(0) for f in g.features]).reshape(n, k)
-        for i, c in enumerate(g.clamped):
-            if c >= 0:
-                local[i] = -1e3
-                local[i, c] = 0
+        local = self.unary[np.array(g.features, np.int64).reshape(n, -1)].sum(1).reshape(n, k)
+        held = np.flatnonzero(g.clamped >= 0)
+        local[held] = -1e3
+        local[held, g.clamped[held]] = 0
         edges = [(a, b, self.chain) for a, b in g.chain] + [(a, b, np.diag(self.skip)) for a, b in g.skip]
         if not edges:
-            return _norm(local)
+            return _norm(local), True
         a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
         pot = np.array([e[2] for e in edges])
         right, left = np.zeros((len(edges), k)), np.zeros((len(edges), k))
-        for _ in range(ROUNDS + min(n, 24)):
+        settled = False
+        for _ in range(ROUNDS):
             total = local.copy()
             np.add.at(total, b, right)
             np.add.at(total, a, left)
             right2 = _lse(pot + (total[a] - left)[:, :, None], 1)
             left2 = _lse(pot + (total[b] - right)[:, None, :], 2)
             right2, left2 = right2 - right2.max(1, keepdims=True), left2 - left2.max(1, keepdims=True)
-            moved = max(np.abs(right2 - right).max(), np.abs(left2 - left).max())
-            right, left = right2, left2
-            if moved < 1e-6:
+            settled = max(np.abs(right2 - right).max(), np.abs(left2 - left).max()) < 1e-6
+            if settled:
                 break
+            right, left = right + STEP * (right2 - right), left + STEP * (left2 - left)
         total = local.copy()
         np.add.at(total, b, right)
         np.add.at(total, a, left)
-        return _norm(total)
+        return _norm(total), settled
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -201,73 +235,101 @@ def _norm(x: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True) if len(x) else x
 
 
-def fit(examples: list[tuple[list[int], int, list[int], list[int], list[int]]]) -> Field:
-    """examples: (features, label, labels before and after in the chain, labels over skip edges), one per node."""
+Example = tuple[list[int], int, list[int], list[int], list[int], int]
+
+
+def fit(examples: list[Example]) -> Field:
+    """examples: (features, label, labels before and after in the chain, labels over skip edges, how often), different nodes once."""
     k = OTHER + 1
-    unary, chain, skip = np.zeros((HASHED, k)), np.zeros((k, k)), np.zeros(k)
+    unary, chain, skip = np.zeros((HASHED + 1, k)), np.zeros((k, k)), np.zeros(k)
     if not examples:
         return Field(unary, chain, skip)
     f = np.array([e[0] for e in examples])
     y = np.array([e[1] for e in examples])
+    weight = np.array([e[5] for e in examples], float)
     before, after, links = (np.zeros((len(examples), k)) for _ in range(3))
     for i, e in enumerate(examples):
-        for x, m in zip(e[2:], (before, after, links), strict=True):
+        for x, m in zip(e[2:5], (before, after, links), strict=True):
             np.add.at(m[i], x, 1.0)
     truth = np.eye(k)[y]
-    g = [np.full_like(x, 1e-6) for x in (unary, chain, skip)]
+    # What all kinds share of the skip weight, and what each has beside.
+    shared, own = np.zeros(1), np.zeros(k)
+    g = [np.full_like(x, 1e-6) for x in (unary, chain, shared, own)]
+    flat = f.ravel()
     for _ in range(150):
-        z = unary[f].sum(1) + before @ chain + after @ chain.T + links * skip
-        err = (_norm(z) - truth) / len(y)
-        du = np.zeros_like(unary)
-        np.add.at(du, f.ravel(), np.repeat(err, f.shape[1], 0))
-        steps = (du + 1e-6 * unary, before.T @ err + err.T @ after + 1e-5 * chain, (links * err).sum(0) + 1e-5 * skip)
-        for p, d, s in zip((unary, chain, skip), steps, g, strict=True):
+        z = unary[f].sum(1) + before @ chain + after @ chain.T + links * (shared + own)
+        err = (_norm(z) - truth) * (weight / weight.sum())[:, None]
+        du = np.stack([np.bincount(flat, np.repeat(err[:, c], f.shape[1]), HASHED + 1) for c in range(k)], 1)
+        du[NONE] = 0
+        ds = (links * err).sum(0)
+        steps = (du + 1e-6 * unary, before.T @ err + err.T @ after + 1e-5 * chain, np.array([ds.sum()]) + 1e-5 * shared, ds + 1e-5 * own)
+        for p, d, s in zip((unary, chain, shared, own), steps, g, strict=True):
             s += d * d
             p -= 0.3 * d / np.sqrt(s)
     # Equal things are the same kind of thing: agreement never counts against a label.
-    return Field(unary, chain, np.maximum(skip, 1.0))
+    return Field(unary, chain, np.maximum(shared + own, 0.0))
+
+
+def examples(text: str | None) -> list[tuple[list[int], int, list[int], list[int], list[int]]]:
+    """The training nodes of a text: (features, label, labels before, after and over skip edges)."""
+    marks = base_spans(text) + seeds(text or "")
+    g = Graph(text or "", marks)
+    n = len(g.spans)
+    y = [int(c) if c >= 0 else OTHER for c in g.clamped]
+    named = {key: y[k] for k, key in enumerate(g.keys) if key and y[k] != OTHER}
+    known = [y[k] != OTHER or g.keys[k] not in named for k in range(n)]
+    links: list[list[list[int]]] = [[[] for _ in range(n)] for _ in range(3)]
+    for i, j in g.chain:
+        if known[i] and known[j]:
+            links[0][j].append(y[i])
+            links[1][i].append(y[j])
+    for i, j in g.skip:
+        if known[i] and known[j]:
+            links[2][i].append(y[j])
+            links[2][j].append(y[i])
+    out = []
+    for k in range(n):
+        if known[k]:
+            out.append((g.features[k], y[k], links[0][k], links[1][k], links[2][k]))
+            if links[2][k]:
+                out.append(([NONE] * FEATURES, y[k], links[0][k], links[1][k], links[2][k]))
+    return out
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text in b.column(0).to_pylist():
-            g = Graph(text, base_spans(text))
-            y = [int(c) if c >= 0 else OTHER for c in g.clamped]
-            n = len(y)
-            links: list[list[list[int]]] = [[[] for _ in range(n)] for _ in range(3)]
-            for i, j in g.chain:
-                links[0][j].append(y[i])
-                links[1][i].append(y[j])
-            for i, j in g.skip:
-                links[2][i].append(y[j])
-                links[2][j].append(y[i])
-            # Equal nodes of one document say the same; so much of a long table is enough.
-            for k in range(min(n, 200)):
-                rows.append((g.features[k], y[k], links[0][k], links[1][k], links[2][k]))
+    ints = pa.list_(pa.int32())
+    for b in slices(batches, 0, 64):
+        rows = [e for text in b.column(0).to_pylist() for e in examples(text)]
         cols = list(zip(*rows, strict=True)) or [()] * 5
-        ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (ints, pa.int32(), ints, ints, ints), strict=True)], ["f", "y", "b", "a", "s"])
 
 
 def train(docs: DataFrame) -> Field:
-    """Weights from at most SAMPLE documents that hold a digit or an at sign, chosen by the hash of their id."""
+    """Weights from at most SAMPLE documents that hold a digit or an at sign, chosen by the hash of their id.
+
+    All their nodes are examples, equal ones once with their number; of the different ones the EXAMPLES with the smallest hash.
+    """
     marked = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
     ids = marked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = marked.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_examples, "f array<int>, y int, b array<int>, a array<int>, s array<int>")
-    alike = rows.groupBy("f", "y", "b", "a", "s").agg(F.count("*").alias("n")).collect()
-    got = sorted((list(r.f), r.y, list(r.b), list(r.a), list(r.s), min(r.n, 5)) for r in alike)
-    return fit([e[:5] for e in got for _ in range(e[5])])
+    alike = rows.groupBy("f", "y", "b", "a", "s").agg(F.count("*").alias("n"))
+    some = alike.orderBy(F.xxhash64("f", "y", "b", "a", "s"), "f", "y", "b", "a", "s").limit(EXAMPLES)
+    return fit(sorted((list(r.f), r.y, list(r.b), list(r.a), list(r.s), r.n) for r in some.toLocalIterator()))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """What the field adds: runs of neighbouring nodes with the same label, without punctuation around, off the base spans."""
+    return labelled(text, base, field)[0]
+
+
+def labelled(text: str, base: list[tuple[int, int, int]], field: Field) -> tuple[list[tuple[int, int, int]], bool]:
+    """``added_spans`` and whether the field's messages settled."""
     if not _MARK.search(text):
-        return []
+        return [], True
     g = Graph(text, base)
     if not (g.clamped < 0).any():
-        return []
-    p = field.beliefs(g)
+        return [], True
+    p, settled = field.beliefs(g)
     label = np.where(p[:, :OTHER].max(1) >= BELIEF, p[:, :OTHER].argmax(1), OTHER)
     label[g.clamped >= 0] = OTHER
     chained = set(g.chain)
@@ -278,9 +340,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
             k += 1
             continue
         end = k
-        while (end, end + 1) in chained and label[end + 1] == label[k]:
+        while label[k] != SECRET and (end, end + 1) in chained and label[end + 1] == label[k]:
             end += 1
         s, e = g.spans[k][0], g.spans[end][1]
+        if label[k] == SECRET and (m := _KEY.search(text, s, e)):
+            s, e = m.span()
         while s < e and not (text[s].isalnum() or text[s] in "+("):
             s += 1
         while e > s and not (text[e - 1].isalnum() or text[e - 1] == ")"):
@@ -288,11 +352,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
         if e > s and not any(b < e and s < c for _, b, c in base):
             out.append((int(label[k]), s, e))
         k = end + 1
-    return out
+    return out, settled
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    return ",".join(f"{LABELS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
 class _Finder:
@@ -301,19 +365,25 @@ class _Finder:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            base_text, every, counts = [], [], []
+            rows = []
             for text in b.column(1).to_pylist():
                 base = base_spans(text)
-                counts.append([sum(k == x for x, _, _ in base) for k in range(OTHER)])
-                base_text.append(hashlib.sha256(listed(base).encode()).hexdigest())
-                every.append(listed(base + added_spans(text or "", base, self.field)))
-            columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(OTHER)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(base_text, pa.string()), pa.array(every, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                added, settled = labelled(text or "", base, self.field)
+                four, secrets = [x for x in added if x[0] != SECRET], [x for x in added if x[0] == SECRET]
+                counts = [sum(k == x for x, _, _ in base) for k in range(len(KINDS))]
+                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + four), listed(secrets), len(base) + len(added), settled))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, FOUND.types[1:], strict=True))], schema=FOUND)
+
+
+#: All spans of the contract's kinds in ``spans``, those of secrets in ``secrets``, and the number of both.
+FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("secrets", pa.string()), ("n_found", pa.int64()), ("settled", pa.bool_())])
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """Per row: doc_id, base counts by kind, base_sha256 and all spans."""
-    return docs.select("doc_id", "text").mapInArrow(_Finder(field), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    """Per row: doc_id, base counts by kind, base_sha256, all spans, secrets, the number of what was found, and whether messages settled."""
+    shape_ = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, secrets string, n_found long, settled boolean"
+    return docs.select("doc_id", "text").mapInArrow(_Finder(field), shape_)
 
 
 class _Redactor:
@@ -325,7 +395,7 @@ class _Redactor:
         out, at = [], 0
         for s, e, k in sorted((s, e, k) for k, s, e in base + added_spans(text, base, self.field)):
             if s >= at:
-                out += [text[at:s], f"[{KINDS[k].upper()}]"]
+                out += [text[at:s], f"[{LABELS[k].upper()}]"]
             at = max(at, e)
         return "".join([*out, text[at:]])
 
