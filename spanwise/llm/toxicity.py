@@ -1,8 +1,9 @@
 """Operator 3: toxicity by a factorization machine over hashed terms.
 
 A term is a lower-cased run of letters or its first ``PREFIX`` letters; terms are hashed into ``BUCKETS``. Labels are
-taken from a bounded sample (``SAMPLE`` labelled rows outside the held-out fold, chosen by hash); the ``FEATURES``
-buckets that tell most about the label in the sample become inputs. The machine's score is
+taken from a bounded sample (``SAMPLE`` labelled rows outside the held-out fold, chosen by hash); all buckets of the sample that
+tell something about the label, by a likelihood-ratio test at ``GAIN``, become inputs, however many. Buckets are counted on
+the executors; the driver gets a number per bucket and label, and of the sampled rows the chosen inputs alone. The machine's score is
 sigmoid(bias + sum of weights + sum over pairs of inputs of the product of their factor vectors), so that a
 pair (an insult and a group) can weigh more than its parts. Scores are made from whole texts alone.
 
@@ -24,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwise.llm.common import released, slices, table, unused
+from spanwise.llm.common import materialise, released, slices, table, unused
 
 BUCKETS = 1 << 18
 PREFIX = 5
 SAMPLE = 20_000
-FEATURES = 768
+#: Twice the log-likelihood ratio that chance alone passes for about one bucket in fifty thousand; and the rows that a bucket must have.
+GAIN = 18.0
+LEAST_ROWS = 3
 FACTORS = 8
 EPOCHS = 40
 BATCH = 256
@@ -87,36 +90,42 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def choose(lists: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The buckets with the largest log-likelihood ratio between the labels, in at least three rows."""
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    hit = [np.bincount(np.concatenate([x for x, y in zip(lists, labels, strict=True) if y == k] or [np.zeros(0, np.int64)]), minlength=BUCKETS).astype(float) for k in (0, 1)]
-    total = hit[0] + hit[1]
+def choose(hits: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """The buckets with a log-likelihood ratio between the labels over GAIN. ``hits``: bucket, rows of label 0 and of label 1."""
+    bucket, h0, h1 = hits.astype(float).T if len(hits) else np.zeros((3, 0))
+    total, n = h0 + h1, n0 + n1
 
     def part(a: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return a * np.log(np.where(a > 0, a, 1) / np.where(a > 0, expected, 1))
 
-    n = n0 + n1
-    gain = part(hit[1], total * n1 / n) + part(hit[0], total * n0 / n) + part(n1 - hit[1], (n - total) * n1 / n) + part(n0 - hit[0], (n - total) * n0 / n)
-    gain[total < 3] = 0
-    best = np.lexsort((np.arange(BUCKETS), -gain))[:FEATURES]
-    # Chance alone gives 2 * gain over 18 to about one bucket in fifty thousand.
-    return np.sort(best[2 * gain[best] > 18])
+    gain = part(h1, total * n1 / n) + part(h0, total * n0 / n) + part(n1 - h1, (n - total) * n1 / n) + part(n0 - h0, (n - total) * n0 / n)
+    return np.sort(bucket[(2 * gain > GAIN) & (total >= LEAST_ROWS)]).astype(np.int64)
 
 
 def fit(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Adaptive-gradient descent on the logistic loss, in a fixed order of rows."""
+    """The machine of rows of buckets and their labels."""
+    labels = labels.astype(np.int64)
+    if labels.sum() in (0, len(labels)):
+        return constant(labels)
+    hits = [np.bincount(np.concatenate([x for x, y in zip(lists, labels, strict=True) if y == k]), minlength=BUCKETS) for k in (0, 1)]
+    seen = np.flatnonzero(hits[0] + hits[1])
+    inputs = choose(np.stack([seen, hits[0][seen], hits[1][seen]], 1), int((1 - labels).sum()), int(labels.sum()))
+    return descend(inputs, [np.searchsorted(inputs, np.intersect1d(row, inputs)) for row in lists], labels)
+
+
+def constant(labels: np.ndarray) -> Machine:
+    """Where there are no labels, or of one kind: their share, whatever the text."""
+    return Machine(60.0 if len(labels) and labels.sum() else -60.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def descend(inputs: np.ndarray, lists: list[np.ndarray], labels: np.ndarray) -> Machine:
+    """Adaptive-gradient descent on the logistic loss, in a fixed order of rows; ``lists`` are places among ``inputs``."""
     labels = labels.astype(np.float64)
-    share = float(labels.mean()) if len(labels) else 0.0
-    if share in (0.0, 1.0):
-        return Machine(-60.0 if share == 0 else 60.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    inputs = choose(lists, labels.astype(np.int64))
+    share = float(labels.mean())
     rng = np.random.default_rng(0)
     x = np.zeros((len(lists), len(inputs)), np.uint8)
     for k, row in enumerate(lists):
-        at = np.searchsorted(inputs, row)
-        ok = at < len(inputs)
-        x[k, at[ok][inputs[at[ok]] == row[ok]]] = 1
+        x[k, row] = 1
     m = Machine(float(np.log(share / (1 - share))), inputs, np.zeros(len(inputs)), rng.normal(0, 0.02, (len(inputs), FACTORS)))
     gb, gw, gv = 1e-6, np.full(len(inputs), 1e-6), np.full((len(inputs), FACTORS), 1e-6)
     for _ in range(EPOCHS):
@@ -151,13 +160,44 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine for ``labels`` (doc_id, toxic) of ``docs``: at most SAMPLE ids leave the label table, and only their texts are read for terms."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1))
-        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    found = rows.mapInArrow(_extract, "doc_id long, toxic int, terms binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms"))
-    got = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in found.collect())
-    return fit([np.frombuffer(t, "<i4").astype(np.int64) for _, _, t in got], np.array([y for _, y, _ in got]))
+    extracted = rows.mapInArrow(_extract, "doc_id long, toxic int, terms binary")
+    found = materialise(extracted.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")))
+    kinds = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(kinds) < 2:
+        return constant(np.array(list(kinds)))
+    hits = found.mapInArrow(_count, "bucket int, toxic int, n long").groupBy("bucket").agg(*[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"h{k}") for k in (0, 1)])
+    counted = np.array([(r.bucket, r.h0, r.h1) for r in hits.where(F.col("h0") + F.col("h1") >= LEAST_ROWS).collect()], np.int64).reshape(-1, 3)
+    inputs = choose(counted, kinds.get(0, 0), kinds.get(1, 0))
+    placed = found.mapInArrow(_Placed(inputs), "doc_id long, toxic int, places binary")
+    got = sorted((r.doc_id, r.toxic, bytes(r.places)) for r in placed.collect())
+    return descend(inputs, [np.frombuffer(t, "<i4").astype(np.int64) for _, _, t in got], np.array([y for _, y, _ in got]))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows per bucket and label, of a whole partition."""
+    n = np.zeros((2, BUCKETS), np.int64)
+    for b in batches:
+        for y, t in zip(b.column("toxic").to_pylist(), b.column("terms").to_pylist(), strict=True):
+            n[int(y > 0), np.frombuffer(t, "<i4")] += 1
+    for k in (0, 1):
+        at = np.flatnonzero(n[k])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), k), pa.int32()), pa.array(n[k][at], pa.int64())], ["bucket", "toxic", "n"])
+
+
+class _Placed:
+    """Of each row the places of its terms among the inputs."""
+
+    def __init__(self, inputs: np.ndarray) -> None:
+        self.inputs = inputs
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.searchsorted(self.inputs, np.intersect1d(np.frombuffer(t, "<i4"), self.inputs)).astype("<i4").tobytes() for t in b.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
 
 
 class _Scorer:
