@@ -3,24 +3,27 @@
 Rows are dealt into blocks of about ``BLOCK`` rows, queries likewise; each pair of blocks is one task. It indexes both
 sides by a cover tree (every node's points lie within its covering radius of its centre, children's radii shrink by
 ``SHRINK``) and walks pairs of nodes: centres' product plus what both radii can add bounds every product between
-two nodes, and a pair is pruned if that is below the worst kth score of the query node. What is left is scored exactly. Blocks'
-results are merged per query. Every query meets every row, in blocks, so the work is queries times rows less what is pruned.
+two nodes, and a pair is pruned if that is below the worst kth score of the query node. What is left is scored exactly. The
+first block of rows is searched before the others: the kth score that a query has there is what rows of the other blocks must
+reach, so they are pruned from the start and give out few rows. Blocks' results are merged per query. Every query meets every
+row, in blocks, so the work is queries times rows less what is pruned. MOST_TASKS bounds the tasks, not what they search.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take no part; vectors of
 different lengths don't meet; equal vectors are ordered by id; rows that repeat an id are candidates each, a repeated query is asked
-once (its smallest vector); an empty table gives an empty result; other columns are ignored.
+once (its smallest vector); components too large for exact scores in 64 bits are scored in whole numbers of any size, and a
+score beyond a long counts as the nearest long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import table
+from spanwise.llm.common import materialise, table
 
 K = 20
 EVERY = 20
@@ -29,6 +32,7 @@ LEAF = 256
 SHRINK = 0.7
 #: A separated centre with fewer points is kept in a common leaf of its parent.
 SMALL = 32
+MOST_TASKS = 10_000
 
 
 class Node:
@@ -81,34 +85,38 @@ def _bound(q: Node, p: Node) -> float:
     return top + 1e-6 * (1 + abs(top))
 
 
-def top_k(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """(query, row, score), the k best rows of each query, ties to smaller ids; a query's own id is left out."""
+def top_k(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int = K, floor: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query, row, score), the k best rows of each query, ties to smaller ids; a query's own id is left out.
+
+    Rows that score less than a query's ``floor`` are left out too.
+    """
+    floor = np.full(len(qid), -np.inf) if floor is None else floor
     if not len(qid) or not len(pid):
         return []
     by_id = np.argsort(pid, kind="stable")
     pid, p = pid[by_id], p[by_id]
     width = len(pid)
     largest = q.shape[1] * (np.abs(q).max() if q.size else 0.0) * (np.abs(p).max() if p.size else 0.0)
-    if largest * width >= 2.0**61:
-        raise ValueError("components are too large for exact integer scores")
+    if not largest * width < 2.0**61 or largest >= 2.0**53:
+        return _large(qid, q, pid, p, k, floor)
     qt, pt = CoverTree(q), CoverTree(p)
-    q, qid, place = q[qt.order], qid[qt.order], pt.order
+    q, qid, floor, place = q[qt.order], qid[qt.order], floor[qt.order], pt.order
     p, pid_at = p[place], pid[place]
     low = np.iinfo(np.int64).min
     best = np.full((len(q), k), low)
     # A key orders by score, then by smaller id: rows stand in the order of ids.
-    worst = np.full(len(q), -np.inf)
+    worst = floor.copy()
 
     def score(a: Node, b: Node) -> None:
         s = (q[a.lo : a.hi] @ p[b.lo : b.hi].T).astype(np.int64)
         keys = s * width + (width - 1 - place[b.lo : b.hi])[None, :]
-        keys[qid[a.lo : a.hi, None] == pid_at[None, b.lo : b.hi]] = low
+        keys[(qid[a.lo : a.hi, None] == pid_at[None, b.lo : b.hi]) | (s < floor[a.lo : a.hi, None])] = low
         rows = np.flatnonzero(keys.max(1) > best[a.lo : a.hi, 0])
         if len(rows):
             both = np.concatenate([best[a.lo + rows], keys[rows]], 1)
             best[a.lo + rows] = np.sort(np.partition(both, both.shape[1] - k, 1)[:, -k:], 1)
             kth = best[a.lo : a.hi, 0]
-            worst[a.lo : a.hi] = np.where(kth == low, -np.inf, kth // width)
+            worst[a.lo : a.hi] = np.maximum(floor[a.lo : a.hi], np.where(kth == low, -np.inf, kth // width))
 
     stack = [(np.inf, qt.root, pt.root)]
     while stack:
@@ -128,6 +136,19 @@ def top_k(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int
     return list(zip(qid[at[0]].tolist(), pid[width - 1 - keys % width].tolist(), (keys // width).tolist(), strict=True))
 
 
+def _large(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int]]:
+    """``top_k`` without a tree, in Python's whole numbers: for components whose scores 64 bits can't hold."""
+    whole = lambda x: [[int(v) for v in row] for row in x.tolist()]
+    rows, out = whole(p), []
+    for i, a, least in zip(qid.tolist(), whole(q), floor.tolist(), strict=True):
+        scored = ((-max(LOW, min(HIGH, sum(x * y for x, y in zip(a, b, strict=True)))), j) for j, b in zip(pid.tolist(), rows, strict=True) if i != j)
+        out += [(i, j, -s) for s, j in heapq.nsmallest(k, (x for x in scored if -x[0] >= least))]
+    return out
+
+
+LOW, HIGH = -(2**63), 2**63 - 1
+
+
 def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = t.column("vec_id").to_numpy()
     flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -135,7 +156,8 @@ def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pair(queries: pa.Table, rows: pa.Table) -> pa.Table:
-    found = top_k(*_vectors(queries), *_vectors(rows)) if len(queries) and len(rows) else []
+    floor = queries.column("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy() if len(queries) else None
+    found = top_k(*_vectors(queries), *_vectors(rows), floor=floor) if len(queries) and len(rows) else []
     cols = list(zip(*found, strict=True)) or [(), (), ()]
     return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
@@ -143,19 +165,31 @@ def _pair(queries: pa.Table, rows: pa.Table) -> pa.Table:
 def search(embeddings: DataFrame) -> DataFrame:
     """query_id, rank, vec_id, score for the queries among ``embeddings`` (ids divisible by EVERY)."""
     v = F.col("embedding").cast("array<double>")
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * 64) == float("inf")))
     rows = embeddings.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(~bad)
     rows = rows.withColumn("dim", F.size("v"))
     queries = rows.where(F.col("vec_id") % EVERY == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s")).select("vec_id", "s.v", "s.dim")
     n, nq = embeddings.agg(F.count("*"), F.sum((F.col("vec_id") % EVERY == 0).cast("int"))).first()
     blocks, asked = max(1, -(-n // BLOCK)), max(1, -(-(nq or 0) // BLOCK))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = queries.select("dim", "vec_id", "v", deal(asked).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = rows.select("dim", "vec_id", "v", deal(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("q"))
-    # As many tasks as pairs of blocks, else adaptive execution would join these small inputs into few tasks.
-    parts = min(blocks * asked, 10_000)
-    left, right = (x.repartition(parts, "dim", "q", "b") for x in (left, right))
-    found = left.groupBy("dim", "q", "b").cogroup(right.groupBy("dim", "q", "b")).applyInArrow(_pair, "query_id long, vec_id long, score long")
+    schema = "query_id long, vec_id long, score long"
+
+    def searched(some: DataFrame, first: int, stop: int) -> DataFrame:
+        """What the queries ``some``, with their floors, find in the blocks from ``first`` to before ``stop``."""
+        left = some.select("dim", "vec_id", "v", "floor", deal(asked).alias("q"), F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("b"))
+        right = rows.withColumn("b", deal(blocks)).where(F.col("b").between(first, stop - 1)).select("dim", "vec_id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("q"))
+        # As many tasks as pairs of blocks, else adaptive execution would join these small inputs into few tasks.
+        parts = min((stop - first) * asked, MOST_TASKS)
+        # Columns of their own for both sides, which come from one table.
+        left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]).repartition(parts, "dim", "q", "b") for x in (left, right))
+        return left.groupBy("dim", "q", "b").cogroup(right.groupBy("dim", "q", "b")).applyInArrow(_pair, schema)
+
+    found = materialise(searched(queries.withColumn("floor", F.lit(None).cast("long")), 0, 1))
+    if blocks > 1:
+        # A floor that a double can't hold exactly is none.
+        floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= K)
+        floors = floors.select(F.col("query_id").alias("vec_id"), F.when(F.abs("floor") < 1 << 53, F.col("floor")).alias("floor"))
+        found = found.unionByName(searched(queries.join(floors, "vec_id", "left"), 1, blocks))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
 
