@@ -6,7 +6,11 @@ The index (archive, offset, length, url, digest, ...) holds what the writing tas
 archives of tasks that ended well: a lost executor's half-written archive is never read.
 
 Reading: index rows are chosen, sorted by archive and offset, and neighbours at most ``GAP`` bytes apart are
-read as one range of at most ``RUN`` bytes (a longer record is a range of its own).
+read as one range of at most ``RUN`` bytes (a longer record is a range of its own). Ranges are dealt over tasks of about
+``RUN`` bytes each, and over all cores if there are fewer; MOST_TASKS bounds the tasks, not what they read.
+
+Records are named by their archive and offset, so names never repeat. What WARC has no header for stands in extension
+headers: the page of a record, the page that a revisit refers to, and the length of the payload that it leaves out.
 
 Defined cases: a null html is an empty payload, a null url an empty one; repeated rows are records of their
 own (of equal page_ids among equal payloads all are responses); a row without page_id can be a revisit but not
@@ -31,6 +35,7 @@ MIN_SHARED = 1000
 ARCHIVE_BYTES = 64 << 20
 GAP = 64 << 10
 RUN = 8 << 20
+MOST_TASKS = 50_000
 DATE = "2024-01-01T00:00:00Z"
 
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string, refers_to long"
@@ -43,21 +48,21 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record(page_id: int | None, url: str, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One record. A revisit keeps its headers and the length (``size``) of the payload that it leaves out."""
+def record(page_id: int | None, url: str, payload: bytes, size: int, digest: str, refers_to: int | None, place: str = "") -> bytes:
+    """One record, named by its ``place``. A revisit keeps its headers and the length (``size``) of the payload that it leaves out."""
     body = b"" if refers_to is not None else payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Payload-Length: {size}",
+        f"X-Page: {'' if page_id is None else page_id}",
         "Content-Type: text/html; charset=utf-8",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}", f"X-Payload-Length: {size}"]
     lines.append(f"Content-Length: {len(body)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -73,12 +78,11 @@ def parse(data: bytes) -> dict:
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
-    number = lambda x: int(x[len("<urn:page:") : -1]) if x != "<urn:page:>" else None
-    out = {"page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload": body}
+    out = {"page_id": int(fields["X-Page"]) if fields["X-Page"] else None, "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload": body}
     if out["record_type"] == "response":
         return out | {"payload_bytes": len(body), "payload_digest": hashlib.sha1(body).hexdigest(), "refers_to": None}
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    return out | {"payload_bytes": int(fields["WARC-Payload-Length"]), "payload_digest": digest, "refers_to": number(fields["WARC-Refers-To"])}
+    return out | {"payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "refers_to": int(fields["X-Refers-To-Page"])}
 
 
 def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +99,7 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     # A name of its own for each attempt: a task that runs twice never shares a file.
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = files.open_output_stream(f"{root}/{name}", compression=None)
-                data = member(record(r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"]))
+                data = member(record(r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"], f"{name}:{at}"))
                 out.write(data)
                 kind = "response" if r["refers_to"] is None else "revisit"
                 rows.append((r["page_id"], f"{folder}/{name}", at, len(data), r["url"], r["digest"], kind, r["refers_to"]))
@@ -168,7 +172,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records that the rows of ``index`` name, with their payloads (empty for revisits)."""
-    return ranges(index).mapInArrow(_read, RECORD)
+    spark = index.sparkSession
+    size = index.agg(F.sum("length")).first()[0] or 0
+    # An index is small beside what it names: adaptive execution would read all archives in a task or two.
+    tasks = max(-(-size // RUN), min(spark.sparkContext.defaultParallelism, -(-size // (1 << 18))), 1)
+    return ranges(index).repartition(min(tasks, MOST_TASKS), "archive", "start").mapInArrow(_read, RECORD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
