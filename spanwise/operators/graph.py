@@ -214,7 +214,7 @@ def chain_cost(legs: DataFrame, fees: DataFrame) -> DataFrame:
     moved = legs.withColumn("before", F.lag("mode").over(w))
     key = F.array_sort(F.array("before", "mode"))
     fee = fees.select(F.array_sort(F.array("mode_a", "mode_b")).alias("_pair"), "fee")
-    rows = moved.withColumn("_pair", F.when(F.col("before") != F.col("mode"), key)).join(F.broadcast(fee), "_pair", "left")
+    rows = moved.withColumn("_pair", F.when(F.col("before") != F.col("mode"), key)).join(fee, "_pair", "left")
     return rows.groupBy("chain").agg((F.sum("cost") + F.sum(F.coalesce("fee", F.lit(0.0)))).alias("cost"), F.count("_pair").alias("changes"))
 
 
