@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwise.llm.common import materialise, released, removed, slices, table, unused, written
+from spanwise.llm.common import materialise, released, removed, slices, spread, table, unused, written
 
 #: Words of a shingle; the query takes four.
 WIDTH = 5
@@ -423,7 +423,7 @@ def kept_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve(table(spark, sf_dir, "documents"), width=4)
+    return resolve(spread(table(spark, sf_dir, "documents")), width=4)
 
 
 ORACLE = r"""

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import materialise, released, slices, table
+from spanwise.llm.common import materialise, released, slices, spread, table
 
 CAPACITY = 2048
 END_ID = 0
 #: About the rows of a length that are ranked together.
-SLICE = 4096
+SLICE = 1024
 #: About the bytes of remembered words that a worker holds, twice.
 HELD = 40 << 20
 #: Characters whose unknown words are tokenised in one call.
@@ -431,4 +431,4 @@ def default_path() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_path())
+    return pack(spread(table(spark, sf_dir, "documents")), default_path())

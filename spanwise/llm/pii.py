@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import slices, table
+from spanwise.llm.common import slices, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of labels: those of the contract, secrets, and nothing of the kind.
@@ -418,5 +418,5 @@ def redacted(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return find(docs, train(docs))

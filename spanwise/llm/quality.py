@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import let, materialise, table, unused, words
+from spanwise.llm.common import let, materialise, spread, table, unused, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -148,7 +148,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(spread(table(spark, sf_dir, "documents")))
 
 
 COUNTS_SQL = r"""

@@ -178,8 +178,8 @@ def search(embeddings: DataFrame) -> DataFrame:
         """What the queries ``some``, with their floors, find in the blocks from ``first`` to before ``stop``."""
         left = some.select("dim", "vec_id", "v", "floor", deal(asked).alias("q"), F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("b"))
         right = rows.withColumn("b", deal(blocks)).where(F.col("b").between(first, stop - 1)).select("dim", "vec_id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("q"))
-        # As many tasks as pairs of blocks, else adaptive execution would join these small inputs into few tasks.
-        parts = min((stop - first) * asked, MOST_TASKS)
+        # More tasks than pairs of blocks, so that few pairs share one; adaptive execution would join these small inputs.
+        parts = min(4 * (stop - first) * asked, MOST_TASKS)
         # Columns of their own for both sides, which come from one table.
         left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]).repartition(parts, "dim", "q", "b") for x in (left, right))
         return left.groupBy("dim", "q", "b").cogroup(right.groupBy("dim", "q", "b")).applyInArrow(_pair, schema)

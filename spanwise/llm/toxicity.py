@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwise.llm.common import materialise, released, slices, table, unused
+from spanwise.llm.common import materialise, released, slices, spread, table, unused
 
 BUCKETS = 1 << 18
 PREFIX = 5
@@ -240,6 +240,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     scored = with_score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
