@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import let, table
+from spanwise.llm.common import let, spread, table
 
 #: Normalised sentences of licence notices and their identifiers.
 SENTENCES = {
@@ -54,6 +54,7 @@ FULL = [
     ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-condition"),
     ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit-warranty"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gpl-free"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gpl3-free"),
     ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl-hope"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "ccby-long"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-grant"),
@@ -70,6 +71,7 @@ RULES = [
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-hope"]),
+    ("GPL-3.0-or-later", ["gpl3-free", "gpl-hope"]),
     ("MIT", ["mit-grant", "mit-condition"]),
     ("Apache-2.0", ["apache-short"]),
     ("Apache-2.0", ["apache-notice"]),
@@ -144,11 +146,17 @@ def _any(seq: Column, rules: list[int]) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))
 
 
 def _oracle() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    known = ", ".join(f"('{s}', '{i}')" for s, i in [*SENTENCES.items(), *{f"@{i}": i for _, i in FULL}.items()])
+    flow = "flow"
+    for sentence, name in FULL:
+        gaps = sentence.replace("* ", "(?:[a-z0-9]+[ |]){1,12}?").replace(" ", "[ |]")
+        # Without look-around a match takes its delimiters; of neighbours that share one, the second time finds the rest.
+        for _ in range(2):
+            flow = rf"regexp_replace({flow}, '([| ]){gaps}([| ])', '\1|@{name}|\2', 'g')"
     seq = "'<' || replace(sentence_ids, ',', '><') || '>'"
     for k, (_, ids) in enumerate(RULES):
         seq = f"replace({seq}, '{''.join(f'<{x}>' for x in ids)}', '<{'*' * len(ids)}#{k}>')"
@@ -162,7 +170,11 @@ WITH part AS (
            lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s
   FROM documents),
 known(sentence, id) AS (VALUES {known}),
-one AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS p FROM part),
+joined AS (SELECT doc_id, s, '|' || array_to_string(s, '|') || '|' AS flow FROM part),
+told AS (
+  SELECT doc_id, CASE WHEN regexp_matches(flow, 'licen[sc]e|redistribution|permission|warrant|unencumbered')
+                 THEN list_transform(string_split({flow}, '|'), lambda x: trim(x)) ELSE s END AS s FROM joined),
+one AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS p FROM told),
 ids AS (SELECT doc_id, string_agg(id, ',' ORDER BY p) AS sentence_ids FROM one JOIN known USING (sentence) GROUP BY doc_id),
 every AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids FROM part LEFT JOIN ids USING (doc_id)),
 struck AS (SELECT *, {seq} AS seq FROM every)

@@ -7,7 +7,8 @@ complete segmentations in order of their score. Since no piece holds the space m
 cut before the marks, and the lattice is a chain of small ones: forward passes are shared by equal parts, and
 backward search enters only the parts whose best alternative costs least, as others can't be in the N best.
 
-Scores tie exactly (they are whole numbers): the piece ids, from the end backwards, decide.
+Scores tie exactly (they are whole numbers): of equal segmentations of a part the first has the smaller piece ids, read from the
+end backwards; the others follow in a fixed order.
 
 Defined cases: null and empty texts have one segmentation, without pieces; repeated rows are encoded each; unpaired
 surrogates can't occur in a table's strings; an empty table gives an empty result; other columns are ignored.
@@ -24,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from spanwise.llm.common import table
+from spanwise.llm.common import slices, spread, table
 
 SPACE = "▁"
 BEST = 4
@@ -52,12 +55,13 @@ class Model:
         self.ids = {self.names[k]: k for k in plain}
         self.score = {self.names[k]: m.get_score(k) if self.names[k].strip(SPACE) else worst - 1 for k in plain}
         self.bytes = {int(self.names[k][3:5], 16): k for k in range(size) if m.is_byte(k)}
+        self.longest = max(map(len, self.ids))
         self.prefixes = {x[:k] for x in self.ids for k in range(1, len(x) + 1)}
+        # One look-up tells a piece (its score and id), the beginning of one (empty) and neither (missing).
+        self.known: dict[str, tuple] = dict.fromkeys(self.prefixes, ()) | {x: (self.score[x], (k,)) for x, k in self.ids.items()}
         self.byte_score = worst - BYTE_COST
         if any(SPACE in x.lstrip(SPACE) for x in self.ids):
             raise ValueError("a piece holds the space mark behind another character")
-        back = {k: bytes([b]) for b, k in self.bytes.items()}
-        self.surface = [back.get(k, self.names[k].replace(SPACE, " ").encode()) for k in range(size)]
         self.parts: dict[str, tuple[float, float, bytes]] = {}
 
     def edges(self, s: str, start: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
@@ -74,16 +78,22 @@ class Model:
             raw = s[start].encode("utf-8", "replace")
             yield start + 1, self.byte_score * len(raw), tuple(self.bytes[b] for b in raw)
 
-    def forward(self, s: str) -> tuple[list[float], list[list[tuple[float, tuple[int, ...], int]]]]:
-        """Best score up to each place, and the edges into each place as (score, ids, start)."""
+    def forward(self, s: str) -> list[float]:
+        """Best score up to each place."""
         best = [0.0] + [-np.inf] * len(s)
-        into: list[list[tuple[float, tuple[int, ...], int]]] = [[] for _ in range(len(s) + 1)]
         for start in range(len(s)):
-            for end, score, ids in self.edges(s, start):
-                into[end].append((score, ids, start))
+            for end, score, _ in self.edges(s, start):
                 if best[start] + score > best[end]:
                     best[end] = best[start] + score
-        return best, into
+        return best
+
+    def into(self, s: str, end: int) -> list[tuple[tuple[int, ...], float, int]]:
+        """(ids, score, start) of the edges that end at ``end``: those of ``edges``, found when they are asked for."""
+        found = [((self.ids[x],), self.score[x], start) for start in range(max(0, end - self.longest), end) if (x := s[start:end]) in self.ids]
+        if s[end - 1] not in self.ids:
+            raw = s[end - 1].encode("utf-8", "replace")
+            found.append((tuple(self.bytes[b] for b in raw), self.byte_score * len(raw), end - 1))
+        return found
 
     def part(self, s: str) -> tuple[float, float, bytes]:
         """(score, loss of the second best, ids of the best) of one part, remembered.
@@ -92,25 +102,24 @@ class Model:
         """
         if len(self.parts) > REMEMBER:
             self.parts.clear()
-        n, scores, ids, prefixes = len(s), self.score, self.ids, self.prefixes
+        n, known = len(s), self.known.get
         best, second = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1)
         back: list[tuple[tuple[int, ...], int]] = [((), 0)] * (n + 1)
         for start in range(n):
-            here, single = best[start], False
+            here = best[start]
             for end in range(start + 1, n + 1):
-                piece = s[start:end]
-                score = scores.get(piece)
-                if score is None:
-                    if piece in prefixes:
-                        continue
-                    break
-                single |= end == start + 1
-                total = here + score
-                if total > best[end] or (total == best[end] and ((ids[piece],), start) < back[end]):
-                    second[end], best[end], back[end] = best[end], total, ((ids[piece],), start)
+                hit = known(s[start:end])
+                if not hit:
+                    # The beginning of a piece, or nothing.
+                    if hit is None:
+                        break
+                    continue
+                total = here + hit[0]
+                if total > best[end] or (total == best[end] and (hit[1], start) < back[end]):
+                    second[end], best[end], back[end] = best[end], total, (hit[1], start)
                 elif total > second[end]:
                     second[end] = total
-            if not single:
+            if not known(s[start]):
                 raw = s[start].encode("utf-8", "replace")
                 total, end = here + self.byte_score * len(raw), start + 1
                 if total > best[end]:
@@ -127,17 +136,26 @@ class Model:
         return got
 
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of one part: A-star from the end, by the score so far and the exact rest."""
-        best, into = self.forward(s)
-        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(s), 0.0)]
+        """The ``n`` best (score, ids) of one part: A-star from the end, by the score so far and the exact rest.
+
+        Of equal ones the last that came up goes on, and of one step's the smallest id comes up last: so a segmentation is
+        followed to its start before another, and the first is that of ``part``.
+        """
+        best, count = self.forward(s), 0
+        queue: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], 0, len(s), 0.0, None)]
         out = []
         while queue and len(out) < n:
-            _, key, at, done = heapq.heappop(queue)
+            _, _, at, done, path = heapq.heappop(queue)
             if at == 0:
-                out.append((done, key[::-1]))
+                ids: list[int] = []
+                while path:
+                    ids += path[0]
+                    path = path[1]
+                out.append((done, tuple(ids)))
                 continue
-            for score, ids, start in into[at]:
-                heapq.heappush(queue, (-(done + score + best[start]), key + ids[::-1], start, done + score))
+            for ids_, score, start in sorted(self.into(s, at), reverse=True):
+                count -= 1
+                heapq.heappush(queue, (-(done + score + best[start]), count, start, done + score, (ids_, path)))
         return out
 
     def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
@@ -171,11 +189,6 @@ class Model:
                     heapq.heappush(queue, (cost - step, pick[:k] + (pick[k] + 1,) + pick[k + 1 :], k))
         return found
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids, without the space that encoding puts first."""
-        raw = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw.decode("utf-8", "replace").removeprefix(" ")
-
 
 _PART = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -190,27 +203,97 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+class Surface:
+    """What each id of a vocabulary file stands for."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [m.id_to_piece(k) for k in range(m.get_piece_size())]
+        self.bytes = [bytes([int(x[3:5], 16)]) if m.is_byte(k) else x.replace(SPACE, " ").encode() for k, x in enumerate(names)]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The text of ids, without the space that encoding puts first."""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+
+
+@functools.lru_cache(2)
+def surface(path: str) -> Surface:
+    return Surface(path)
+
+
 class _Encoder:
     def __init__(self, path: str, n: int) -> None:
         self.path, self.n = path, n
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(self.path)
+        for b in slices(batches, 1):
+            found = [model.encode(text or "", self.n) for text in b.column(1).to_pylist()]
+            ids = [i for f in found for _, i in f]
+            outer = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            inner = pa.array(np.cumsum([0, *(len(i) // 4 for i in ids)]), pa.int32())
+            lists = pa.ListArray.from_arrays(inner, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            pieces = pa.array([len(f[0][1]) // 4 for f in found], pa.int64())
+            scores = pa.ListArray.from_arrays(outer, pa.array([x for f in found for x, _ in f], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pieces, scores, pa.ListArray.from_arrays(outer, lists)], ["doc_id", "text", "n_pieces", "scores", "ids"])
+
+
+def encode(docs: DataFrame, path: str, n: int = BEST) -> DataFrame:
+    """Per row: doc_id, text, n_pieces of the best segmentation, and scores and ids of the ``n`` best (of all, if there are fewer), best first."""
+    return docs.select("doc_id", "text").mapInArrow(_Encoder(path, n), "doc_id long, text string, n_pieces long, scores array<double>, ids array<array<int>>")
+
+
+class _Decoder:
+    def __init__(self, path: str, at: int) -> None:
+        self.path, self.at = path, at
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = surface(self.path)
         for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                lists = part.column(self.at)
+                # All ids of the rows as one run of bytes each, cut where the lists end.
+                pieces = list(map(back.bytes.__getitem__, lists.flatten().to_numpy(zero_copy_only=False).tolist()))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+                starts, known = [0, *ends[:-1]], lists.is_valid().to_pylist()
+                texts = [b"".join(pieces[x:y]).decode("utf-8", "replace").removeprefix(" ") if ok else None for x, y, ok in zip(starts, ends, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``rows`` with a column ``decoded``: the text of the column ``ids`` of piece ids; null for null. An id off the vocabulary is an error."""
+    return rows.mapInArrow(_Decoder(path, rows.columns.index(ids)), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+class _Digester:
+    """What ``encode`` and ``decode`` give of each text, digested where it is made: the ids of all segmentations are several times the texts."""
+
+    def __init__(self, path: str, n: int) -> None:
+        self.path, self.n = path, n
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, back = load(self.path), surface(self.path)
+        for b in slices(batches, 1):
             rows = []
             for text in b.column(1).to_pylist():
                 found = model.encode(text or "", self.n)
-                # The space mark itself, in a text, comes back as a space: all that encoding loses.
-                back = model.decode(found[0][1]) == (text or "").replace(SPACE, " ")
-                rows.append((len(found[0][1]) // 4, [x for x, _ in found], [hashlib.sha256(i).hexdigest() for _, i in found], back))
+                best = np.frombuffer(found[0][1], "<u4").tolist()
+                same = back.decode(best) == (text or "").replace(SPACE, " ")
+                rows.append((len(best), [x for x, _ in found], [hashlib.sha256(i).hexdigest() for _, i in found], same))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             types = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_pieces", "scores", "ids_sha256", "decoded"])
 
 
 def encode_documents(docs: DataFrame, path: str, n: int = BEST) -> DataFrame:
-    """Per row: doc_id, n_pieces of the best segmentation, scores and id digests of the ``n`` best, and whether decoding gives the text back."""
-    return docs.select("doc_id", "text").mapInArrow(_Encoder(path, n), "doc_id long, n_pieces long, scores array<double>, ids_sha256 array<string>, decoded boolean")
+    """Per row: doc_id, n_pieces of the best segmentation, scores and id digests of the ``n`` best, and whether decoding the best gives the text back.
+
+    A digest is that of the ids as little-endian 32-bit numbers. The space mark itself, in a text, comes back as a space: all that encoding loses.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_Digester(path, n), "doc_id long, n_pieces long, scores array<double>, ids_sha256 array<string>, decoded boolean")
 
 
 def default_path() -> str:
@@ -220,4 +303,4 @@ def default_path() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), default_path())
+    return encode_documents(spread(table(spark, sf_dir, "documents")), default_path())

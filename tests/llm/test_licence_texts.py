@@ -49,6 +49,7 @@ You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0"""
 TEXTS = {
+    "GPL-3.0-or-later": GPL.replace("version 2", "version 3"),
     "MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "GPL-2.0-or-later": GPL, "Apache-2.0": APACHE,
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
@@ -69,3 +70,19 @@ def test_real_texts_are_named(spark, name):
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     got = {r.doc_id: (r.licences, r.n_matches) for r in licences.scan(df).collect()}
     assert got == {k: (name, 1) for k in range(len(made))}
+
+
+def test_sql_finds_the_same(spark):
+    """Whole texts, wrapped and commented, one after another and sentences that repeat."""
+    import duckdb
+
+    texts = [t for name in sorted(TEXTS) for t in shapes(TEXTS[name])]
+    texts += [MIT + "\n\n" + BSD3, BSD2 + "\n" + BSD2, "Redistributions of source code must retain the above copyright notice. " * 3, None, ""]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    cur = con.execute(licences.ORACLE)
+    columns = [c[0] for c in cur.description]
+    want = {r[0]: dict(zip(columns, r, strict=True)) for r in cur.fetchall()}
+    got = {r.doc_id: r.asDict() for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want

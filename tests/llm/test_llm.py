@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -54,14 +55,26 @@ def test_n_best_is_exact(text):
     assert len({i for _, i in got}) == len(got)
     for score, ids in got:
         k = np.frombuffer(ids, "<u4")
-        assert m.decode(ids) == text.replace("▁", " ") and len(k) == len(ids) // 4
-    assert [m.encode(text, 1)[0][0]] == [x for x, _ in got][:1]
+        assert pieces.surface(pieces.default_path()).decode(k) == text.replace("▁", " ")
+    assert m.encode(text, 1) == got[:1]
 
 
 def test_pieces_on_odd_texts(spark):
     got = pieces.encode_documents(documents(spark, ODD, scores=1, decoded="x"), pieces.default_path()).collect()
     assert len(got) == len(ODD) and all(r.decoded for r in got)
     assert got[0].n_pieces == 0 and got[7].ids_sha256 == got[8].ids_sha256
+    m = pieces.load(pieces.default_path())
+    some = [None, "", "Ünï ☃ 𝒳     end", "same text here now"]
+    docs = documents(spark, some, ids="x", decoded=1)
+    rows = pieces.encode(docs, pieces.default_path(), 3)
+    for r in rows.collect():
+        want = m.encode(r.text or "", 3)
+        assert (r.scores, r.ids, r.n_pieces) == ([x for x, _ in want], [np.frombuffer(i, "<u4").tolist() for _, i in want], len(r.ids[0]))
+        digests = [hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in r.ids]
+        assert pieces.encode_documents(docs.where(F.col("doc_id") == r.doc_id), pieces.default_path(), 3).first().ids_sha256 == digests
+    back = pieces.decode(rows.select("doc_id", F.get("ids", F.size("ids") - 1).alias("ids")), pieces.default_path()).orderBy("doc_id").collect()
+    assert [r.decoded for r in back] == [x or "" for x in some]
+    assert pieces.encode_documents(docs.where("false"), pieces.default_path()).count() == 0
 
 
 # --- op2 -------------------------------------------------------------------------------------------------------------
@@ -502,11 +515,9 @@ def test_warc_round_trip(spark, monkeypatch):
         assert r.payload_bytes == len(data) and r.payload_digest == hashlib.sha1(data).hexdigest()
         assert r.record_type == ("revisit" if page in (1, None) else "response") and r.refers_to == (2 if page in (1, None) else None)
         assert r.payload == (b"" if page in (1, None) else data)
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 500)
     monkeypatch.setattr(warc, "RUN", 300)
     again = spark.createDataFrame([(1, "u", long, 0), (1, "u", long, 0), (2, "v", "abc" * 500, 0), (2, "v", None, 0)], "page_id long, url string, html string, digest int").coalesce(1)
     small = warc.write_archives(again)
-    assert small.select("archive").distinct().count() >= 1
     assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.read_records(small).collect()) == [(1, 1400, "response"), (1, 1400, "response"), (2, 0, "response"), (2, 1500, "response")]
     one = warc.read_records(index.where("page_id in (3, 6)"))
     assert {r.page_id for r in one.collect()} == {3, 6}
@@ -524,6 +535,46 @@ def test_search_against_brute_force(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_archives_roll_over_and_long_records(tmp_path, monkeypatch):
+    """Archives end at their size, a record longer than a range is one of its own, and names never repeat."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 400)
+    rng = np.random.default_rng(0)
+    rows = [(k % 5, f"u{k}", bytes(rng.integers(0, 256, 300 if k % 4 else 3000, dtype=np.uint8)), None) for k in range(12)] + [(3, "r", None, 99)]
+    batch = pa.RecordBatch.from_pylist([{"page_id": p, "url": u, "payload": b, "size": len(b or b"abc"), "digest": hashlib.sha1(b or b"abc").hexdigest(), "refers_to": r} for p, u, b, r in rows])
+    index = [r for out in warc._write(str(tmp_path), iter([batch])) for r in out.to_pylist()]
+    assert len({r["archive"] for r in index}) > 3 and len(index) == len(rows)
+    names = set()
+    for r, (page, url, payload, refers) in zip(index, rows, strict=True):
+        with open(r["archive"], "rb") as f:
+            f.seek(r["offset"])
+            data = f.read(r["length"])
+        got = warc.parse(data)
+        assert (got["page_id"], got["url"], got["payload"], got["refers_to"]) == (page, url, payload or b"", refers)
+        assert got["payload_bytes"] == len(payload or b"abc") and got["payload_digest"] == r["digest"]
+        names.add(re.search(rb"WARC-Record-ID: <(urn:uuid:[^>]+)>", zlib.decompress(data, 31)).group(1))
+    assert len(names) == len(rows)
+
+
+def test_empty_tables_of_the_others(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    none = documents(spark, ["x"]).where("false")
+    assert toxicity.kept_documents(none, labels).count() == 0
+    assert toxicity.with_score(documents(spark, ODD), toxicity.train(none, labels)).where("_score < 0.01").count() == len(ODD)
+    assert licences.scan(none).count() == 0
+    # Ids with one label each, and none of them a document.
+    assert toxicity.kept_documents(documents(spark, ODD), spark.createDataFrame([(100, 1)], "doc_id long, toxic int")).count() == len(ODD)
+
+
+def test_chat_turns_that_repeat_and_tie(spark):
+    """Repeated rows are repeated turns; tied turns stand by role and text."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, None, "system", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(df).select(chat.parse(F.col("formatted")).alias("turns")).first().turns
+    assert sorted((t[0], t[1]) for t in got) == sorted((r, t) for _, _, r, t in rows)
+    tied = [(t[0], t[1]) for t in got if t[0] != "system"]
+    assert tied == [("assistant", "z"), ("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c")]
+
+
 def brute_top(rows, k=20):
     """(query, rank, row, score) by whole numbers; queries are ids divisible by 20, asked once by their smallest vector."""
     vectors = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
@@ -593,5 +644,28 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == kept
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing names and an empty table go through all stages."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(90))
+    rows = [(1, long, "en", "s", 9, 0), (1, long, "en", "s", 9, 0), (2, long + " more", None, None, None, None), (None, long, "en", "s", 1, 1), (3, None, None, None, None, None), (4, "", "en", "s", 0, 0), (5, "mail a.b@c.example.org " + long.replace("word", "term"), "en", "s", 9, 0)]
+    df = spark.createDataFrame(rows, DOCS + ", _score int")
+    spark.createDataFrame([(1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns and set(docs.dtypes) == set(df.dtypes)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {k for k, _ in kept} == {1, None, 5} and any("[EMAIL]" in t for _, t in kept)
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 3
+    empty = tmp_path / "empty"
+    spark.read.parquet(str(tmp_path / "labels.parquet")).where("false").write.parquet(str(empty / "labels.parquet"))
+    df.where("false").write.parquet(str(empty / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 def test_paths_are_public():
     assert packing.default_path() == public_tokenizers.path("word_bpe_49k.json")
