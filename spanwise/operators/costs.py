@@ -56,7 +56,8 @@ def passable(kind: Column, month: Column, nodata_frac: Column) -> Column:
 
 def edge_month_weights(edges: DataFrame, stats: DataFrame) -> DataFrame:
     """(edge_id, month, mode, avg_friction, nodata_frac, passable); ``stats`` is per edge and month, unsampled types weigh 1, ice costs its penalty."""
-    rows = edge_months(edges.select("edge_id", "type")).join(stats, ["edge_id", "month"], "left")
+    # The planner takes rows of all months for as many as there are edges, and would broadcast them; so here and below.
+    rows = edge_months(edges.select("edge_id", "type")).join(stats.hint("merge"), ["edge_id", "month"], "left")
     plain = ~F.col("type").isin(*SURFACE)
     friction = F.col("avg_friction") * F.when(F.col("type").isin(*ICE_TYPES), ICE_PENALTY).otherwise(1.0)
     gap = F.when(plain, 0.0).otherwise(F.coalesce("nodata_frac", F.lit(1.0)))

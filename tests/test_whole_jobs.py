@@ -86,3 +86,10 @@ def test_every_point_is_noded_rasterised_and_in_a_blob(spark, tmp_path):
     assert {r.id: r.blob for r in QUERIES["buffer_blobs"](spark, sf).collect()} == {k: k for k in range(250)}
     cells = {tuple(r) for r in QUERIES["line_corridor_cells"](spark, sf).collect()}
     assert all(((50000 - y * 25000) // 150, (x * 25000 + 50000) // 150) in cells for x in range(25) for y in range(10))
+
+
+# Rows of every month or of every cell, which the planner reckons far too small.
+@pytest.mark.parametrize("name", ["edge_month_weights"])
+def test_monthly_rows_are_never_broadcast(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
