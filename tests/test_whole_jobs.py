@@ -89,7 +89,7 @@ def test_every_point_is_noded_rasterised_and_in_a_blob(spark, tmp_path):
 
 
 # Rows of every month or of every cell, which the planner reckons far too small.
-@pytest.mark.parametrize("name", ["edge_month_weights"])
+@pytest.mark.parametrize("name", ["edge_month_weights", "passable_by_rate_mode"])
 def test_monthly_rows_are_never_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
