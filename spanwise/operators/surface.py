@@ -202,7 +202,8 @@ def open_share(cells: DataFrame, regions: DataFrame) -> DataFrame:
 
 def navigability(cells: DataFrame, corridor: DataFrame) -> DataFrame:
     """(row, col, m1 to m12): per corridor cell whether a layer (month, row, col, value) has a value in each month."""
-    rows = corridor.join(cells.where("value is not null").select("row", "col", "month"), ["row", "col"], "left")
+    # A stack of months is more than the planner takes it for, and would be broadcast.
+    rows = corridor.join(cells.where("value is not null").select("row", "col", "month").hint("merge"), ["row", "col"], "left")
     return rows.groupBy("row", "col").agg(*[F.coalesce(F.max(F.col("month") == m), F.lit(False)).alias(f"m{m}") for m in MONTHS])
 
 
