@@ -74,7 +74,7 @@ def cost(kind: Column, length_m: Column, friction: Column) -> Column:
 
 def edge_costs(weights: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge_id, month, cost_per_gallon, passable)."""
-    rows = weights.join(edges.select("edge_id", "type", "length_m"), "edge_id")
+    rows = weights.join(edges.select("edge_id", "type", "length_m").hint("merge"), "edge_id")
     return rows.select("edge_id", "month", cost(F.col("type"), F.col("length_m"), F.col("avg_friction")).alias("cost_per_gallon"), "passable")
 
 

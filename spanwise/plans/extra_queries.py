@@ -140,8 +140,9 @@ _PLAN = more_queries.WEIGHTS.replace("SELECT p_partkey AS edge_id, p_retailprice
 def multimodal_costs(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as edges of all types: weights and costs of every edge in every month, about two million rows at the bench's scale."""
     e, stats = _typed_edges(spark, sf, "orders", "o_orderkey", F.col("o_totalprice"))
-    weights = costs.edge_month_weights(e, stats)
-    rows = weights.join(costs.edge_costs(weights, e).select("edge_id", "month", "cost_per_gallon"), ["edge_id", "month"])
+    # The mode is the type's, so the weights need not meet the costs that are made from them.
+    modes = e.select("edge_id", costs.lookup(F.col("type"), costs.RATE_MODE).alias("mode")).hint("merge")
+    rows = costs.edge_costs(costs.edge_month_weights(e, stats), e).join(modes, "edge_id")
     return rows.groupBy("mode", "month").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("passable"), F.col("cost_per_gallon"))), 2).alias("cost"), F.round(F.avg(F.when(F.col("passable"), 1.0).otherwise(0.0)), 6).alias("open"))
 
 
