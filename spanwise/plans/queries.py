@@ -110,7 +110,7 @@ def edge_month_weights(spark: SparkSession, sf: str) -> DataFrame:
 def edge_costs_all_types(spark: SparkSession, sf: str) -> DataFrame:
     e, stats = _typed_edges(spark, sf)
     weights = costs.edge_month_weights(e, stats)
-    rows = costs.edge_costs(weights, e).join(e.select("edge_id", "type"), "edge_id")
+    rows = costs.edge_costs(weights, e).join(e.select("edge_id", "type").hint("merge"), "edge_id")
     return rows.groupBy("type", "month").agg(F.count("*").alias("n"), F.round(F.sum("cost_per_gallon"), 4).alias("cost"), F.round(F.avg(F.when(F.col("passable"), 1.0).otherwise(0.0)), 6).alias("open"))
 
 
