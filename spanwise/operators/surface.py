@@ -195,21 +195,21 @@ def line_overlap(lines: DataFrame, others: DataFrame, reach: float, step: float
 def open_share(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """(region, month, share): of the cells (row, col, region) the share that a stack's layer (month, row, col, value) has a value for."""
     size = regions.groupBy("region").agg(F.count("*").alias("_n"))
-    n = cells.where("value is not null").join(regions, ["row", "col"]).groupBy("region", "month").agg(F.count("*").alias("_k"))
+    n = cells.where("value is not null").join(regions.hint("merge"), ["row", "col"]).groupBy("region", "month").agg(F.count("*").alias("_k"))
     every = size.withColumn("month", F.explode(F.array(*[F.lit(m) for m in MONTHS])))
     return every.join(n, ["region", "month"], "left").select("region", "month", (F.coalesce("_k", F.lit(0)) / F.col("_n")).alias("share"))
 
 
 def navigability(cells: DataFrame, corridor: DataFrame) -> DataFrame:
     """(row, col, m1 to m12): per corridor cell whether a layer (month, row, col, value) has a value in each month."""
-    # A stack of months is more than the planner takes it for, and would be broadcast.
+    # A stack of months is more than the planner takes it for, and would be broadcast; so in zones and regions.
     rows = corridor.join(cells.where("value is not null").select("row", "col", "month").hint("merge"), ["row", "col"], "left")
     return rows.groupBy("row", "col").agg(*[F.coalesce(F.max(F.col("month") == m), F.lit(False)).alias(f"m{m}") for m in MONTHS])
 
 
 def zone_stats(cells: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((zone, month, n, lo, hi, mid) of cells (month, row, col, value) over (row, col, zone), (zone, worst_month, worst) by the largest median)."""
-    rows = cells.join(zones, ["row", "col"]).groupBy("zone", "month").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.median("value").alias("mid"))
+    rows = cells.join(zones.hint("merge"), ["row", "col"]).groupBy("zone", "month").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.median("value").alias("mid"))
     return rows, rows.groupBy("zone").agg(F.min_by("month", F.struct(-F.col("mid"), "month")).alias("worst_month"), F.max("mid").alias("worst"))
 
 
