@@ -80,7 +80,7 @@ def edge_costs(weights: DataFrame, edges: DataFrame) -> DataFrame:
 
 def weight_per_mile(weights: DataFrame, costs: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge_id, month, type, mode, avg_friction, passable, cost_per_gallon, miles, weighted_miles): the three tables joined on edge and month."""
-    rows = weights.join(costs.select("edge_id", "month", "cost_per_gallon"), ["edge_id", "month"]).join(edges.select("edge_id", "type", "length_m"), "edge_id")
+    rows = weights.join(costs.select("edge_id", "month", "cost_per_gallon").hint("merge"), ["edge_id", "month"]).join(edges.select("edge_id", "type", "length_m").hint("merge"), "edge_id")
     miles = F.col("length_m") / METRES_PER_MILE
     return rows.select("edge_id", "month", "type", "mode", "avg_friction", "passable", "cost_per_gallon", miles.alias("miles"), (miles * F.col("avg_friction")).alias("weighted_miles"))
 

@@ -90,7 +90,7 @@ def test_every_point_is_noded_rasterised_and_in_a_blob(spark, tmp_path):
 
 
 # Rows of every month, which the planner takes for a twelfth of what they are.
-@pytest.mark.parametrize("name", ["edge_month_weights", "passable_by_rate_mode", "navigability", "multimodal_costs", "edge_costs_all_types", "open_share"])
+@pytest.mark.parametrize("name", ["edge_month_weights", "passable_by_rate_mode", "navigability", "multimodal_costs", "edge_costs_all_types", "open_share", "weight_per_mile", "zone_stats"])
 def test_monthly_rows_are_never_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[(edge_id|row)", plan)
