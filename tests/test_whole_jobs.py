@@ -5,7 +5,9 @@ import re
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
+from spanwise.operators import graph
 from spanwise.plans.extra_queries import QUERIES
 
 
@@ -94,3 +96,10 @@ def test_every_point_is_noded_rasterised_and_in_a_blob(spark, tmp_path):
 def test_monthly_rows_are_never_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[(edge_id|row)", plan)
+
+
+def test_states_of_many_links_never_overflow(spark):
+    # 2^25 numbers of 40 bits summed up beyond 64 bits.
+    links = spark.range(1 << 25).select("id", (F.col("id") + 1).alias("v"))
+    assert graph._state(links)[0] == 1 << 25
+    assert graph._state(links) != graph._state(links.where("id <> 7"))
