@@ -175,13 +175,31 @@ def cheapest_parallel(edges: DataFrame, cost: str = "cost") -> DataFrame:
     return ok.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min(cost).alias("cost"))
 
 
-def shortest_costs(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+def _reached(adj: DataFrame, sources: DataFrame, rounds: int = 8, most: int = 500_000) -> DataFrame | None:
+    """(node) all that ``adj`` (u, v) leads to from sources (node); None if that takes more rounds, or more than ``most`` nodes in one."""
+    seen = front = materialise(sources.select("node").distinct())
+    for _ in range(rounds):
+        n = front.count()
+        if not n:
+            return seen
+        if n > most:
+            return None
+        step = adj.join(F.broadcast(front), F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct()
+        front = materialise(step.join(seen, "node", "left_anti"))
+        seen = materialise(seen.unionByName(front))
+    return None
+
+
+def shortest_costs(pairs: DataFrame, sources: DataFrame, targets: DataFrame, plain: int = 1_000_000) -> DataFrame:
     """(src, dst, cost): cheapest paths over ``pairs`` (u, v, cost) from sources (node) to other targets (node).
 
     Relaxation by frontiers: only nodes whose cost fell go on, and all sources run together. A round writes the costs that
-    fell; the best so far are the least of all rounds, which are written anew each time that they have doubled.
+    fell; the best so far are the least of all rounds, which are written anew each time that they have doubled. Of more than
+    ``plain`` links, those that no source reaches are left out first, if that is soon known: every round reads them all.
     """
     adj = materialise(pairs.select("u", "v", "cost").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")))
+    if adj.count() > plain and (near := _reached(adj, sources)) is not None:
+        adj = materialise(adj.join(near, F.col("u") == F.col("node"), "left_semi"))
     least = lambda df: df.groupBy("src", "node").agg(F.min("dist").alias("dist"))
     front = materialise(sources.select(F.col("node").alias("src"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
     base, since = front, []

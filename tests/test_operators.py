@@ -320,3 +320,16 @@ def test_complete_linkage_in_rounds_and_of_stacked_points(spark, monkeypatch):
     for alone in (0, 1_000_000):
         assert {r.id: r.cluster for r in hubs.complete_linkage(pts(spark, rows), 3.0, alone).collect()} == want
     assert max(seen) <= 90
+
+
+def test_shortest_costs_leave_out_what_no_source_reaches(spark):
+    # Two short runs, of which one holds the source, and a long one.
+    links = [(k, k + 1, 1.0) for k in (*range(4), *range(10, 14), *range(100, 112))]
+    pairs = spark.createDataFrame(links, "u long, v long, cost double")
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "node long")
+    everywhere = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    assert {r.node for r in graph._reached(pairs.union(pairs.select("v", "u", "cost")), ids(0)).collect()} == {0, 1, 2, 3, 4}
+    assert graph._reached(pairs, ids(100)) is None
+    for source, n in ((0, 4), (100, 12)):
+        got = {(r.src, r.dst): r.cost for r in graph.shortest_costs(pairs, ids(source), everywhere, 0).collect()}
+        assert got == {(source, source + k): float(k) for k in range(1, n + 1)}
