@@ -32,6 +32,8 @@ LEAF = 256
 SHRINK = 0.7
 #: A separated centre with fewer points is kept in a common leaf of its parent.
 SMALL = 32
+#: So many such centres, and one for each child, are tried in a node; then the points left go to common leaves too.
+TRIES = 32
 MOST_TASKS = 10_000
 
 
@@ -52,24 +54,32 @@ class CoverTree:
         self.order = np.array(self.order, np.int64)
 
     def _build(self, points: np.ndarray, centre: np.ndarray) -> Node:
-        d = np.sqrt(((self.x[points] - centre) ** 2).sum(1))
-        radius, lo = float(d.max()), len(self.order)
+        y = self.x[points] - centre
+        d2 = np.einsum("ij,ij->i", y, y)
+        radius, lo = float(np.sqrt(d2.max())), len(self.order)
         node = Node(centre, radius, lo, lo + len(points))
         if len(points) <= LEAF or radius == 0:
             self.order.extend(points.tolist())
             return node
-        scale, left, loose = radius * SHRINK, points[np.argsort(d, kind="stable")], []
+        by_d = np.argsort(d2, kind="stable")
+        scale, left, y, d2, loose, few = radius * SHRINK, points[by_d], y[by_d], d2[by_d], [], 0
         while len(left):
-            # Centres are points farther than ``scale`` from those before.
-            near = ((self.x[left] - self.x[left[0]]) ** 2).sum(1) <= scale * scale
+            # Centres are points farther than ``scale`` from those before. Products tell it: radii are measured anew in each child.
+            near = d2 - 2 * (y @ y[0]) + d2[0] <= scale * scale
+            near[0] = True
             if near.sum() < SMALL:
                 loose.append(left[near])
+                few += 1
             elif near.all() and len(left) == len(points):
                 loose = [left[k : k + LEAF] for k in range(0, len(left), LEAF)]
                 break
             else:
                 node.children.append(self._build(left[near], self.x[left[0]]))
-            left = left[~near]
+            left, y, d2 = left[~near], y[~near], d2[~near]
+            if few > TRIES + len(node.children):
+                # Points that lie apart from each other: to try them all takes the square of them and prunes nothing.
+                loose.append(left)
+                break
         if loose:
             rest = np.concatenate(loose)
             for k in range(0, len(rest), LEAF):
@@ -108,15 +118,20 @@ def top_k(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int
     worst = floor.copy()
 
     def score(a: Node, b: Node) -> None:
-        s = (q[a.lo : a.hi] @ p[b.lo : b.hi].T).astype(np.int64)
+        s = q[a.lo : a.hi] @ p[b.lo : b.hi].T
+        rows = np.flatnonzero(s.max(1) >= worst[a.lo : a.hi])
+        if not len(rows):
+            return
+        s, at = s[rows].astype(np.int64), a.lo + rows
         keys = s * width + (width - 1 - place[b.lo : b.hi])[None, :]
-        keys[(qid[a.lo : a.hi, None] == pid_at[None, b.lo : b.hi]) | (s < floor[a.lo : a.hi, None])] = low
-        rows = np.flatnonzero(keys.max(1) > best[a.lo : a.hi, 0])
-        if len(rows):
-            both = np.concatenate([best[a.lo + rows], keys[rows]], 1)
-            best[a.lo + rows] = np.sort(np.partition(both, both.shape[1] - k, 1)[:, -k:], 1)
-            kth = best[a.lo : a.hi, 0]
-            worst[a.lo : a.hi] = np.maximum(floor[a.lo : a.hi], np.where(kth == low, -np.inf, kth // width))
+        keys[(qid[at, None] == pid_at[None, b.lo : b.hi]) | (s < floor[at, None])] = low
+        better = np.flatnonzero(keys.max(1) > best[at, 0])
+        if len(better):
+            at = at[better]
+            both = np.concatenate([best[at], keys[better]], 1)
+            best[at] = np.sort(np.partition(both, both.shape[1] - k, 1)[:, -k:], 1)
+            kth = best[at, 0]
+            worst[at] = np.maximum(floor[at], np.where(kth == low, -np.inf, kth // width))
 
     stack = [(np.inf, qt.root, pt.root)]
     while stack:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -535,6 +536,21 @@ def test_search_against_brute_force(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_cover_tree_of_points_apart_is_built_in_few_passes():
+    """Points that all lie apart: trying each as a centre would pass over all points some thousand times."""
+    x = np.floor(64 * np.random.default_rng(2).normal(0, 0.15, (6000, 64)))
+
+    def seconds(f, *args):
+        began = time.process_time()
+        f(*args)
+        return time.process_time() - began
+
+    one = min(seconds(lambda: [((x - x[0]) ** 2).sum(1) for _ in range(20)]) for _ in range(3)) / 20
+    assert seconds(search.CoverTree, x) < 600 * one
+    tree = search.CoverTree(x)
+    assert sorted(tree.order.tolist()) == list(range(len(x)))
+
+
 def test_archives_roll_over_and_long_records(tmp_path, monkeypatch):
     """Archives end at their size, a record longer than a range is one of its own, and names never repeat."""
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 400)
