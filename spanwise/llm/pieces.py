@@ -34,6 +34,10 @@ from spanwise.llm.common import slices, spread, table
 SPACE = "▁"
 BEST = 4
 REMEMBER = 1_200_000
+#: So many characters are looked up at once, and so many of these, and N-best lists of parts, are remembered.
+WINDOW = 4
+REMEMBER_WINDOWS = 200_000
+REMEMBER_LISTS = 50_000
 #: What a byte piece costs more than the worst piece, so that bytes stand only where nothing else fits.
 BYTE_COST = 10.0
 
@@ -63,6 +67,8 @@ class Model:
         if any(SPACE in x.lstrip(SPACE) for x in self.ids):
             raise ValueError("a piece holds the space mark behind another character")
         self.parts: dict[str, tuple[float, float, bytes]] = {}
+        self.windows: dict[str, tuple] = {}
+        self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def edges(self, s: str, start: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
         """(end, score, ids) of the edges that leave ``start``."""
@@ -102,28 +108,40 @@ class Model:
         """
         if len(self.parts) > REMEMBER:
             self.parts.clear()
-        n, known = len(s), self.known.get
+        n, known, windows = len(s), self.known.get, self.windows.get
         best, second = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1)
         back: list[tuple[tuple[int, ...], int]] = [((), 0)] * (n + 1)
         for start in range(n):
             here = best[start]
-            for end in range(start + 1, n + 1):
-                hit = known(s[start:end])
-                if not hit:
-                    # The beginning of a piece, or nothing.
-                    if hit is None:
-                        break
-                    continue
-                total = here + hit[0]
-                if total > best[end] or (total == best[end] and (hit[1], start) < back[end]):
-                    second[end], best[end], back[end] = best[end], total, (hit[1], start)
+            hits, more, raw = windows(w := s[start : start + WINDOW]) or self.window(w)
+            for size, score, ids in hits:
+                total, end = here + score, start + size
+                top = best[end]
+                if total > top:
+                    second[end], best[end], back[end] = top, total, (ids, start)
+                elif total == top:
+                    second[end] = total
+                    if (ids, start) < back[end]:
+                        back[end] = ids, start
                 elif total > second[end]:
                     second[end] = total
-            if not known(s[start]):
-                raw = s[start].encode("utf-8", "replace")
-                total, end = here + self.byte_score * len(raw), start + 1
+            if more:
+                for end in range(start + WINDOW + 1, n + 1):
+                    hit = known(s[start:end])
+                    if not hit:
+                        # The beginning of a piece, or nothing.
+                        if hit is None:
+                            break
+                        continue
+                    total = here + hit[0]
+                    if total > best[end] or (total == best[end] and (hit[1], start) < back[end]):
+                        second[end], best[end], back[end] = best[end], total, (hit[1], start)
+                    elif total > second[end]:
+                        second[end] = total
+            if raw:
+                total, end = here + raw[0], start + 1
                 if total > best[end]:
-                    second[end], best[end], back[end] = best[end], total, (tuple(self.bytes[x] for x in raw), start)
+                    second[end], best[end], back[end] = best[end], total, (raw[1], start)
                 elif total > second[end]:
                     second[end] = total
         # A segmentation leaves the best one, seen from the end, at one place.
@@ -135,6 +153,32 @@ class Model:
         got = self.parts[s] = best[n], float(loss), struct.pack(f"<{sum(map(len, found))}I", *(k for x in reversed(found) for k in x))
         return got
 
+    def window(self, w: str) -> tuple[tuple[tuple[int, float, tuple[int, ...]], ...], bool, tuple | None]:
+        """What leaves a place that ``w`` follows, remembered: (size, score, ids) of its pieces, whether longer ones may begin with all of it, and the first character's bytes if it is no piece."""
+        if len(self.windows) > REMEMBER_WINDOWS:
+            self.windows.clear()
+        hits, hit = [], None
+        for end in range(1, len(w) + 1):
+            hit = self.known.get(w[:end])
+            if hit is None:
+                break
+            if hit:
+                hits.append((end, *hit))
+        raw = None if self.known.get(w[0]) else w[0].encode("utf-8", "replace")
+        got = self.windows[w] = tuple(hits), hit is not None and len(w) == WINDOW, raw and (self.byte_score * len(raw), tuple(self.bytes[x] for x in raw))
+        return got
+
+    def listed(self, s: str, n: int) -> list[tuple[float, bytes]]:
+        """``n_best`` with ids as bytes, remembered unless long: the parts with the smallest losses are often the same."""
+        got = self.lists.get((s, n))
+        if got is None:
+            got = [(x, struct.pack(f"<{len(k)}I", *k)) for x, k in self.n_best(s, n)]
+            if len(s) <= 64:
+                if len(self.lists) > REMEMBER_LISTS:
+                    self.lists.clear()
+                self.lists[s, n] = got
+        return got
+
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of one part: A-star from the end, by the score so far and the exact rest.
 
@@ -165,23 +209,23 @@ class Model:
             return [(0.0, b"")]
         scores, losses, ids = zip(*[known.get(p) or self.part(p) for p in parts], strict=True)
         total = sum(scores)
-        found = [(total, b"".join(ids))]
         # The best is left n - 1 times at most, so in parts with the n - 1 smallest losses; equal ones go by place.
         least = np.argsort(np.array(losses), kind="stable")[: n - 1]
         chosen = [int(k) for k in least if losses[k] < np.inf]
         if not chosen or n == 1:
-            return found
+            return [(total, b"".join(ids))]
         chosen.sort()
-        lists = [self.n_best(parts[k], n) for k in chosen]
+        lists = [self.listed(parts[k], n) for k in chosen]
+        # The ids before, between and behind the chosen parts, the same in all.
+        row = [b""] * (2 * len(chosen) + 1)
+        row[::2] = [b"".join(ids[x:y]) for x, y in zip([0, *(k + 1 for k in chosen)], [*chosen, len(ids)], strict=True)]
         # Sums of one choice from each list, best first, each reached from exactly one other.
         queue = [(-sum(x[0][0] for x in lists), (0,) * len(lists), 0)]
         found = []
         fixed = total - sum(x[0][0] for x in lists)
         while queue and len(found) < n:
             cost, pick, move = heapq.heappop(queue)
-            row = list(ids)
-            for k, c, x in zip(chosen, pick, lists, strict=True):
-                row[k] = np.array(x[c][1], "<u4").tobytes()
+            row[1::2] = [x[c][1] for c, x in zip(pick, lists, strict=True)]
             found.append((fixed - cost, b"".join(row)))
             for k in range(move, len(lists)):
                 if pick[k] + 1 < len(lists[k]):

@@ -60,6 +60,24 @@ def test_n_best_is_exact(text):
     assert m.encode(text, 1) == got[:1]
 
 
+def test_parts_that_share_windows_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    m = pieces.Model(pieces.default_path())
+    m.known = Counted(m.known)
+    some = ["zqx", "vkj", "☃wq", "jxq"]
+    text = " ".join(a + b + c + d for a in some for b in some for c in some for d in some)
+    got = m.encode(text)
+    # A few look-ups for a window that is new, none for one that was seen; one by one it is two a character at least.
+    assert m.known.asked < len(text)
+    assert got == pieces.Model(pieces.default_path()).encode(text) and len(m.parts) == 256
+
+
 def test_pieces_on_odd_texts(spark):
     got = pieces.encode_documents(documents(spark, ODD, scores=1, decoded="x"), pieces.default_path()).collect()
     assert len(got) == len(ODD) and all(r.decoded for r in got)
