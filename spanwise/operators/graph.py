@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions import geometry as G
-from spanwise.operators import spatial
+from spanwise.operators import paths, spatial
 from spanwise.operators.ranking import numbered
 from spanwise.sources.scratch import materialise, removed, written
 
@@ -190,41 +190,16 @@ def _reached(adj: DataFrame, sources: DataFrame, rounds: int = 8, most: int = 50
     return None
 
 
-def shortest_costs(pairs: DataFrame, sources: DataFrame, targets: DataFrame, plain: int = 1_000_000) -> DataFrame:
-    """(src, dst, cost): cheapest paths over ``pairs`` (u, v, cost) from sources (node) to other targets (node).
+def shortest_costs(pairs: DataFrame, sources: DataFrame, targets: DataFrame | None = None, block: int = 2_000_000) -> DataFrame:
+    """(src, dst, cost): cheapest paths over ``pairs`` (u, v, cost) from sources (node) to other targets (node), or to all nodes.
 
-    Relaxation by frontiers: only nodes whose cost fell go on, and all sources run together. A round writes the costs that
-    fell; the best so far are the least of all rounds, which are written anew each time that they have doubled. Of more than
-    ``plain`` links, those that no source reaches are left out first, if that is soon known: every round reads them all.
+    Pairs may repeat. Blocks of about ``block`` links are settled by themselves and tell each other what fell, see ``paths``.
     """
-    adj = materialise(pairs.select("u", "v", "cost").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")))
-    if adj.count() > plain and (near := _reached(adj, sources)) is not None:
-        adj = materialise(adj.join(near, F.col("u") == F.col("node"), "left_semi"))
-    least = lambda df: df.groupBy("src", "node").agg(F.min("dist").alias("dist"))
-    front = materialise(sources.select(F.col("node").alias("src"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
-    base, since = front, []
-    size, new, added = 0, front.count(), 0
-    while new:
-        step = front.join(adj, F.col("node") == F.col("u")).groupBy("src", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("cost")).alias("new"))
-        # Only what the step reaches is looked up among the best.
-        known = base
-        for one in since:
-            known = known.unionByName(one)
-        known = least(known.join(step.select("src", "node"), ["src", "node"], "left_semi"))
-        front = materialise(step.join(known, ["src", "node"], "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("src", "node", F.col("new").alias("dist")))
-        new = front.count()
-        since.append(front)
-        added += new
-        if added > size or len(since) >= 16:
-            for one in since:
-                base = base.unionByName(one)
-            base, since, added = materialise(least(base)), [], 0
-            size = base.count()
-    best = base
-    for one in since:
-        best = best.unionByName(one)
-    best = least(best)
-    return best.join(targets.select("node").distinct(), "node").where("src <> node").select("src", F.col("node").alias("dst"), F.col("dist").alias("cost"))
+    best = paths.cheapest(pairs, sources, block)
+    if targets is None:
+        return best
+    # By merge: the planner takes the costs for a few rows.
+    return best.join(targets.select(F.col("node").alias("dst")).distinct().hint("merge"), "dst").select("src", "dst", "cost")
 
 
 def chain_cost(legs: DataFrame, fees: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +20,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/spanwise/{uuid.uuid4().hex}"
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path there."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` read back from the Parquet that it is written to, and where that is."""
     path = scratch(df.sparkSession)

@@ -1,6 +1,8 @@
 """Operators on small hand-built cases."""
 
+import heapq
 import math
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -333,3 +335,37 @@ def test_shortest_costs_leave_out_what_no_source_reaches(spark):
     for source, n in ((0, 4), (100, 12)):
         got = {(r.src, r.dst): r.cost for r in graph.shortest_costs(pairs, ids(source), everywhere, 0).collect()}
         assert got == {(source, source + k): float(k) for k in range(1, n + 1)}
+
+
+def test_long_ways_take_few_rounds(spark):
+    # A round per link would start a few jobs per link.
+    pairs = spark.createDataFrame([(k, k + 1, 1.0) for k in range(60)], "u long, v long, cost double")
+    nodes = spark.range(61).withColumnRenamed("id", "node")
+    spark.sparkContext.setJobGroup("long ways", "")
+    got = {r.dst: r.cost for r in graph.shortest_costs(pairs, nodes.where("node = 0"), nodes, 30).collect()}
+    spark.sparkContext.setJobGroup("other", "")
+    assert got == {k: float(k) for k in range(1, 61)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("long ways")) < 120
+
+
+def test_shortest_costs_over_blocks_equal_dijkstra(spark):
+    # Named nodes, parallel links, links without cost, of no cost, to the same node and to none; two parts that don't meet.
+    rnd = random.Random(5)
+    name = lambda k: f"n{k}"
+    links = [(rnd.randrange(40) + 40 * side, rnd.randrange(40) + 40 * side, float(rnd.choice((0, 1, 5, 9, 40)))) for side in (0, 1) for _ in range(90)]
+    odd = [("n0", "n79", None), ("n0", "n78", float("nan")), ("n1", None, 0.0)]
+    pairs = spark.createDataFrame([(name(u), name(v), c) for u, v, c in links] + odd, "u string, v string, cost double")
+    want = {}
+    for s in range(0, 40, 8):
+        best, heap = {s: 0.0}, [(0.0, s)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            for u, v, c in links:
+                for a, b in ((u, v), (v, u)):
+                    if a == x and d + c < best.get(b, math.inf):
+                        best[b] = d + c
+                        heapq.heappush(heap, (d + c, b))
+        want |= {(name(s), name(x)): d for x, d in best.items() if x != s}
+    sources = spark.createDataFrame([(name(k),) for k in (*range(0, 40, 8), 999)], "node string")
+    got = [((r.src, r.dst), r.cost) for r in graph.shortest_costs(pairs, sources, None, 60).collect()]
+    assert len(got) == len(want) and dict(got) == want
