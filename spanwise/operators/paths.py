@@ -177,8 +177,8 @@ def cheapest(links: DataFrame, sources: DataFrame, block: int, most: int = 64 <<
         removed(spark, held_at if not turn else f"{root}/told/{turn - 1}")
         if not any(x.startswith("block=") for x in _listed(at, f"{plain}/told/{turn}")):
             break
-        # By merge: the planner takes what tasks find for a few rows.
-        found = tasks.mapInArrow(_settled(root, turn, groups, n), fell).groupBy("node", "src").agg(F.min("dist").alias("dist"))
+        # Written before the join: adaptive execution would stop the tasks, which keep states, if no node is shared.
+        found = materialise(tasks.mapInArrow(_settled(root, turn, groups, n), fell)).groupBy("node", "src").agg(F.min("dist").alias("dist"))
         told, turn = found.join(shared.hint("merge"), "node").select("block", "at", "src", "dist"), turn + 1
     out = T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("cost", T.DoubleType())])
     return tasks.mapInArrow(_found(root, named_at, groups, n), out).where("src <> dst")
